@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from .mixing import OP2_SQL, op2_mixing
 from .sentencepiece_codec import op1_sentencepiece
+from .simhash import op4_simhash
+from .toxicity import op10_toxicity
+from .url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece}
+QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_mixing": op2_mixing,
+    "op4_simhash": op4_simhash,
+    "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": OP2_SQL, "op9_url_filter": OP9_SQL}
