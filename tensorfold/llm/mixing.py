@@ -39,9 +39,9 @@ def source_targets(sized: DataFrame, weights: Sequence[int], most: int) -> DataF
     fill = W.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
     before = fill.rowsBetween(W.unboundedPreceding, -1)
     level = (F.sum("source_size").over(W.partitionBy(F.lit(1))) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(fill.rowsBetween(0, W.unboundedFollowing))
-    # The first source, in this order, that isn't full sets the level for itself and all after it.
+    # The first source, in this order, that isn't full sets the level; taking more sources for full only lowers it.
     by = by.withColumn("level", F.when(level * F.col("w") < F.col("cap"), level))
-    by = by.withColumn("level", F.min("level").over(W.partitionBy(F.lit(1))))
+    by = by.withColumn("level", F.max("level").over(W.partitionBy(F.lit(1))))
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("cap").cast("double")))
     return by.select("source", "source_size", target.alias("target"))
 
@@ -125,7 +125,7 @@ filled AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
             / (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS at_this
   FROM weighted WINDOW o AS (ORDER BY cap::DOUBLE / w::DOUBLE, source NULLS LAST)),
-levels AS (SELECT *, min(CASE WHEN at_this * w < cap THEN at_this END) OVER () AS level FROM filled),
+levels AS (SELECT *, max(CASE WHEN at_this * w < cap THEN at_this END) OVER () AS level FROM filled),
 targets AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(level * w, cap::DOUBLE)) AS target FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A linear model over a sentence's set of words gives the probability that the
-sentence offends; noisy-or combines them: a document is toxic unless every one of its sentences is harmless,
+A document is a bag of sentences. A linear model over a sentence's distinct words, each with its first letters
+as further features so that inflected forms share evidence, gives the probability that the sentence offends; noisy-or combines them: a document is toxic unless every one of its sentences is harmless,
 ``1 - prod(1 - q)``. Only documents carry labels, so the sentence model is trained through the noisy-or, and
 then tells which sentences offend.
 
@@ -32,36 +32,49 @@ def words(sentence: str) -> set[str]:
     return set(_WORDS.findall(sentence.lower()))
 
 
+#: Lengths of the prefixes that are features besides the word.
+PREFIXES = (4, 5, 6)
+#: Words a model remembers the weight of.
+_MEMORY = 200_000
+
+
+def features(word: str) -> list[str]:
+    """The word, and its prefixes marked with a caret."""
+    return [word, *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)]
+
+
 @dataclass
 class ToxicityModel:
-    """Word weights and bias of the sentence model; ``prior`` is the answer where nothing could be learnt."""
+    """Feature weights and bias of the sentence model; ``prior`` is the answer where nothing could be learnt."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -8.0
     prior: float | None = None
+    _seen: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
-    def sentence(self, text: str) -> float:
-        z = self.bias + sum(self.weights[w] for w in words(text) & self.weights.keys())
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+    def word(self, word: str) -> float:
+        found = self._seen.get(word)
+        if found is None:
+            if len(self._seen) >= _MEMORY:
+                self._seen.clear()
+            found = self._seen[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        return found
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and (begin, end, probability) of the sentences at 0.5 or more."""
         if self.prior is not None:
             return self.prior, []
-        text, known, quiet, offending, calm = text or "", self.weights.keys(), 0, [], 0.0
-        found: set[str] = known & set(_WORDS.findall(text.lower()))
+        text, quiet, offending, calm = text or "", 0, [], 0.0
+        hot = {w: z for w in words(text) if (z := self.word(w))}
         # Sentences without a weighted word all have the bias alone; only the others are looked at one by one.
         for m in _SENTENCE.finditer(text):
-            z = self.bias
-            if found:
-                hit = words(m[0]) & found
-                if hit:
-                    z += sum(self.weights[w] for w in hit)
-                    calm += _softplus(z)
-                    if z >= 0:
-                        offending.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
-                    continue
-            quiet += 1
+            if hot and (hit := words(m[0]) & hot.keys()):
+                z = self.bias + sum(sorted(hot[w] for w in hit))
+                calm += _softplus(z)
+                if z >= 0:
+                    offending.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
+            else:
+                quiet += 1
         calm += max(quiet, not text) * _softplus(self.bias)
         return -math.expm1(-calm), offending
 
@@ -70,20 +83,34 @@ def _softplus(z: float) -> float:
     return z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
 
 
-def fit(texts: list[str], labels: list[int], l1: float = 2e-3, epochs: int = 300, min_docs: int = 3, rate: float = 0.2) -> ToxicityModel:
+def screen(bags: list[list[set[str]]], y: np.ndarray, min_docs: int, most: int) -> dict[str, int]:
+    """At most ``most`` features that toxic documents have significantly oftener, the most telling first."""
+    count = Counter(), Counter()
+    for bag, label in zip(bags, y):
+        count[int(label)].update({f for w in set().union(*bag) for f in features(w)})
+    n1, n0, found = y.sum(), len(y) - y.sum(), []
+    for f, k in count[1].items():
+        p = (k + count[0][f]) / len(y)
+        gap = k / n1 - count[0][f] / n0
+        z = gap / math.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        if k >= min_docs and z > 3:
+            found.append((-z, f))
+    return {f: i for i, (_, f) in enumerate(sorted(found)[:most])}
+
+
+def fit(texts: list[str], labels: list[int], l1: float = 1e-3, epochs: int = 400, min_docs: int = 3, most: int = 3000, rate: float = 0.1) -> ToxicityModel:
     """Fit by proximal Adam on the noisy-or likelihood, classes weighted alike, weights drawn to zero (L1).
 
-    Words must be in ``min_docs`` distinct texts. Copies count once.
+    Weights are not negative: a sentence can't excuse itself. Copies of a text count once.
     """
     seen = dict(zip(texts, labels))
     texts, y = list(seen), np.array(list(seen.values()), np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(prior=float(y.mean()) if len(y) else 0.0)
     bags = [[words(m[0]) for m in _SENTENCE.finditer(t)] or [set()] for t in texts]
-    count = Counter(w for bag in bags for w in set().union(*bag))
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in count.items() if n >= min_docs))}
+    vocabulary = screen(bags, y, min_docs, most)
     doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    entries = [(s, vocabulary[w]) for s, ws in enumerate(ws for bag in bags for ws in bag) for w in sorted(ws) if w in vocabulary]
+    entries = [(s, vocabulary[f]) for s, ws in enumerate(ws for bag in bags for ws in bag) for w in sorted(ws) for f in features(w) if f in vocabulary]
     rows, cols = np.array(entries, np.int64).reshape(-1, 2).T
     size = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     v, b = np.zeros(len(vocabulary)), -6.0
@@ -93,15 +120,13 @@ def fit(texts: list[str], labels: list[int], l1: float = 2e-3, epochs: int = 300
         calm = np.bincount(doc, np.logaddexp(0, z), len(y))
         pull = size * np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(calm, 500)), 1e-9), 1.0)
         by_sentence = pull[doc] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(cols, by_sentence[rows], len(v)), by_sentence.sum())
+        grad = np.append(np.bincount(cols, by_sentence[rows], len(v)) + l1, by_sentence.sum())
         m1 += 0.1 * (grad - m1)
         m2 += 0.01 * (grad * grad - m2)
-        scale = rate / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-4)
-        move = scale * m1 / (1 - 0.9**step)
-        v -= move[:-1]
-        v = np.sign(v) * np.maximum(np.abs(v) - l1 * scale[:-1], 0)
+        move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-5)
+        v = np.maximum(v - move[:-1], 0)
         b = float(np.clip(b - move[-1], -14, -4))
-    return ToxicityModel({w: float(v[i]) for w, i in vocabulary.items() if abs(v[i]) > 1e-3}, b)
+    return ToxicityModel({f: float(v[i]) for f, i in vocabulary.items() if v[i] > 1e-3}, b)
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, sample_per_class: int, doc_id: str, text: str) -> tuple[list[str], list[int]]:
