@@ -90,7 +90,7 @@ def perturbations(fraction: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 6, hashes: int = 6, width: float = 2.0, probes: int = 32, vec_id: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 6, hashes: int = 6, width: float = 2.3, probes: int = 32, vec_id: str = "vec_id", vector: str = "embedding", block: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found of each query, among all rows but its own.
 
     ``is_query`` is a condition on the column ``id``.

@@ -7,6 +7,7 @@ from .mixing import OP2_SQL, op2_mixing
 from .multi_index import op8_multi_index
 from .sentencepiece_codec import op1_sentencepiece
 from .simhash import op4_simhash
+from .token_files import op7_token_files
 from .toxicity import op10_toxicity
 from .url_filter import OP9_SQL, op9_url_filter
 from .warc import op5_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op6_lsh_search": op6_lsh_search,
+    "op7_token_files": op7_token_files,
     "op8_multi_index": op8_multi_index,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,

@@ -73,11 +73,11 @@ def in_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], run: Calla
     hot = _parts(left, keys, block), _parts(right, keys, block)
 
     def dealt(side: DataFrame, own: DataFrame | None, other: DataFrame | None, mine: str, theirs: str) -> DataFrame:
-        for table, name in ((own, "own"), (other, "other")):
+        for table, name in ((own, "_own"), (other, "_other")):
             side = side.withColumn(name, F.lit(1)) if table is None else side.join(table.withColumnRenamed("parts", name), list(keys), "left").fillna(1, [name])
-        side = side.withColumn(mine, F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
-        side = side.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col("other") - 1)) if other is not None else F.lit(0))
-        return side.drop("own", "other")
+        side = side.withColumn(mine, F.pmod(F.xxhash64("id"), F.col("_own")).cast("int"))
+        side = side.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col("_other") - 1)) if other is not None else F.lit(0))
+        return side.drop("_own", "_other")
 
     a, b = dealt(left, *hot, "_l", "_r"), dealt(right, *hot[::-1], "_r", "_l")
     by = [*keys, "_l", "_r"]
