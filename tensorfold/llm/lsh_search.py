@@ -29,7 +29,7 @@ from .common import staged
 from .vectors import dimension, in_blocks, lists, matrix, unique_vectors
 
 #: Base vectors in the bounded sample whose k-th best score bounds a query's k-th best from below.
-SAMPLE = 4096
+SAMPLE = 16384
 
 
 class PStableHash:

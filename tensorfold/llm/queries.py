@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_text import op3_html_text
 from .lsh_search import op6_lsh_search
 from .mixing import OP2_SQL, op2_mixing
 from .multi_index import op8_multi_index
@@ -15,6 +16,7 @@ from .warc import op5_warc
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_mixing": op2_mixing,
+    "op3_html_text": op3_html_text,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
     "op6_lsh_search": op6_lsh_search,
