@@ -217,7 +217,7 @@ class SentencePieceCodec:
     memory is bounded: two generations of about ``cache_words`` chunks of up to 48 characters.
     """
 
-    def __init__(self, path: str, cache_words: int = 200_000):
+    def __init__(self, path: str, cache_words: int = 80_000):
         import sentencepiece
 
         with open(path, "rb") as f:

@@ -35,7 +35,7 @@ def words(sentence: str) -> set[str]:
 #: Lengths of the prefixes that are features besides the word.
 PREFIXES = (4, 5, 6)
 #: Words a model remembers the weight of.
-_MEMORY = 200_000
+_MEMORY = 100_000
 
 
 def features(word: str) -> list[str]:
