@@ -98,7 +98,7 @@ def screen(bags: list[list[set[str]]], y: np.ndarray, min_docs: int, most: int)
     return {f: i for i, (_, f) in enumerate(sorted(found)[:most])}
 
 
-def fit(texts: list[str], labels: list[int], l1: float = 1e-3, epochs: int = 400, min_docs: int = 3, most: int = 3000, rate: float = 0.1) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], l1: float = 3e-4, epochs: int = 400, min_docs: int = 3, most: int = 3000, rate: float = 0.1) -> ToxicityModel:
     """Fit by proximal Adam on the noisy-or likelihood, classes weighted alike, weights drawn to zero (L1).
 
     Weights are not negative: a sentence can't excuse itself. Copies of a text count once.
