@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +27,6 @@ def _python(function: Callable[[float], float], edge: Callable[[float], float]):
             return edge(x)
 
     def op(x: Column) -> Column:
-        import pandas as pd
-
         @F.pandas_udf("double")
         def run(s: pd.Series) -> pd.Series:
             return s.map(one, na_action="ignore").astype("float64")
@@ -73,8 +72,6 @@ MATH: dict[str, Callable[..., Column]] = {
 
 
 def _next_after(x: Column, y: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([math.nextafter(p, q) for p, q in zip(a, b)])
