@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .vectors import dimension, in_blocks, lists, matrix, unique_vectors
 
-#: Base vectors in the bounded sample whose k-th best score bounds a query's k-th best from below.
+#: Base vectors in the bounded sample: the k-th best score of those a query finds bounds its k-th best from below.
 SAMPLE = 16384
 
 
@@ -124,25 +124,41 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = 6,
 
     own_type = rows.schema["v"].dataType.simpleString()
     base = staged(rows.mapInArrow(index, f"t int, bucket bigint, id bigint, v {own_type}"), "index")
-    # A bounded sample of the base: k better candidates in it prove that a worse one isn't among the k best.
+    # A bounded sample of the base: k candidates found in it prove that a worse one isn't among the k best found.
     picked = base.where("t = 0").orderBy(F.xxhash64("id"), "id").select("id", "v").limit(SAMPLE).toArrow()
     sample_ids, sample = np.asarray(picked["id"]), matrix(picked["v"], d)[1]
-    shared = vectors.sparkSession.sparkContext.broadcast((sample_ids, sample))
+    extended = np.hstack([sample / longest, np.sqrt(np.maximum(0, 1 - ((sample / longest) ** 2).sum(axis=1)))[:, None]])
+    places = hashing.bucket(hashing.place(extended)[0])
+    own_buckets = [np.unique(places[:, t], return_inverse=True) for t in range(tables)]
+    shared = vectors.sparkSession.sparkContext.broadcast((sample_ids, sample, own_buckets))
+
+    def visited(bucket: np.ndarray, known: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """(queries, sample): whose bucket in a table is among those that a query visits."""
+        at = np.minimum(np.searchsorted(known, bucket), max(len(known) - 1, 0))
+        hit = np.zeros((len(bucket), len(known)), bool)
+        row, probe_ = np.nonzero(known[at] == bucket)
+        hit[row, at[row, probe_]] = True
+        return hit[:, of]
 
     def probe(batches):
-        ids, s = shared.value
+        ids, s, known = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch, x = usable(whole.slice(lo, 256))
                 if not len(x):
                     continue
-                scores = x @ s.T
-                scores[np.asarray(batch.column(0))[:, None] == ids[None, :]] = -np.inf
-                floor = np.partition(scores, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(x), -np.inf)
                 y = np.hstack([x / np.sqrt((x * x).sum(axis=1))[:, None], np.zeros((len(x), 1))])
                 low, fraction = hashing.place(y)
-                for t in range(tables):
-                    bucket = hashing.bucket(low[:, t, None, :] + perturbations(fraction[:, t], probes))
+                buckets = [hashing.bucket(low[:, t, None, :] + perturbations(fraction[:, t], probes)) for t in range(tables)]
+                found = np.zeros((len(x), len(ids)), bool)
+                if len(ids) >= k:
+                    for bucket, (own, of) in zip(buckets, known):
+                        found |= visited(bucket, own, of)
+                    found &= np.asarray(batch.column(0))[:, None] != ids[None, :]
+                    floor = np.partition(np.where(found, x @ s.T, -np.inf), -k, axis=1)[:, -k]
+                else:
+                    floor = np.full(len(x), -np.inf)
+                for t, bucket in enumerate(buckets):
                     n = bucket.shape[1]
                     at = pa.array(np.repeat(np.arange(len(x)), n))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x) * n, t, np.int32)), pa.array(bucket.ravel()), *(c.take(at) for c in batch.columns), pa.array(np.repeat(floor, n))], names=["t", "bucket", "id", "v", "floor"])
