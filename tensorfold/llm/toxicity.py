@@ -145,7 +145,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, sample_per_class: int, d
     return [r._t or "" for r in rows], [r._y for r in rows]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 1500, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 1000, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Fit on labelled documents whose ``crc32(doc_id) mod 5`` isn't 0; those are held out."""
     return fit(*sample_labelled(docs, labels, sample_per_class, doc_id, text))
 
