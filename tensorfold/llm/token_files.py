@@ -12,6 +12,7 @@ of their own. An empty table writes an empty manifest.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -30,11 +31,19 @@ from .token_coder import BLOCK, LANES, MAGIC, TAIL, pack, unpack
 _INDEX = np.dtype([("id", "<i8"), ("none", "u1"), ("start", "<i8"), ("n", "<i8")])
 
 
+#: What the file's pre-tokenizer takes as one word, after composition and lower-casing.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: The same words among the characters of Latin-1, where composition changes nothing and case goes letter by letter.
+_LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizers file whose model drops white space, and so never crosses a space or line feed.
 
-    Words between those are encoded one by one and the frequent ones remembered, with the same ids as the whole
-    text has: two generations of about ``words`` words of up to 48 characters.
+    Words are encoded one by one and the frequent ones remembered, with the same ids as the whole text has: two
+    generations of about ``words`` words of up to 48 characters. Words are what lies between spaces and line feeds;
+    in a Latin-1 text, if the file splits by letters as we know how to, the words of the file itself.
     """
 
     def __init__(self, path: str, words: int = 200_000):
@@ -44,10 +53,14 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.split = re.compile(r"[ \n]").split
+        own = json.loads(self.own.to_str())
+        steps = (own.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.latin = (own.get("normalizer") or {}).get("normalizers") == _STEPS and steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("invert") is True and steps[0].get("behavior") == "Removed"
         probe = "ab  cd\n\nab ' s <|x 1\n2"
         whole = self.own.encode(probe, add_special_tokens=False).ids
         self.by_word = whole == [i for w in self.split(probe) for i in self.own.encode(w, add_special_tokens=False).ids]
         # An added token no text is likely to hold marks where words end when many are encoded at once.
+        self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]
         added = [t.content for t in self.own.get_added_tokens_decoder().values() if t.special and not re.search(r"\s", t.content)]
         self.mark = added[-1] if added else None
         self.mark_id = self.own.token_to_id(self.mark) if added else None
@@ -61,12 +74,22 @@ class WordTokenizer:
             at = stop + 1
         return [*out, ids[at:]]
 
+    def _words(self, text: str) -> list[str]:
+        if self.latin and not any(t in text for t in self.added):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return _LATIN_WORDS(text.lower())
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 16-bit integers."""
         text = text or ""
         if not self.by_word:
             return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        words = text.replace("\n", " ").split(" ")
+        words = self._words(text)
         if len(self.cache) > self.room:
             self.older, self.cache = self.cache, {"": b""}
         known, older, new, once = self.cache, self.older, [], []
