@@ -155,10 +155,14 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     Rows with a null id stay, as nothing can name them. Repeated rows of a kept id become one.
     """
     found = simhash_components(docs, doc_id, text, shingle, threshold)
-    kept = found.where("id = component").select(F.col("id").alias("_kept_id")).distinct()
-    stay = docs.where(docs[doc_id].isNotNull()).dropDuplicates([doc_id])
-    stay = stay.join(kept, stay[doc_id].cast("bigint") == kept["_kept_id"], "left_semi")
-    return stay.unionByName(docs.where(docs[doc_id].isNull()))
+    # Those that go are fewer than those that stay, and rows with a null id match none of them.
+    ids = found.where("id is not null").groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("kept"))
+    gone = ids.where("not kept").select(F.col("id").alias("_gone_id"))
+    stay = docs.join(gone, docs[doc_id].cast("bigint") == gone["_gone_id"], "left_anti")
+    # Only if ids repeat are texts shuffled to make one row of several.
+    if docs.where(docs[doc_id].isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
+        return stay
+    return stay.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(stay.where(F.col(doc_id).isNull()))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
