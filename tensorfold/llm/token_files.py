@@ -28,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .common import open_fs, work_dir
 from .token_coder import BLOCK, LANES, MAGIC, TAIL, pack, unpack
 
+#: Bytes of input that one file is to take, by Spark's estimate.
+FILE_BYTES = 128 << 20
 _INDEX = np.dtype([("id", "<i8"), ("none", "u1"), ("start", "<i8"), ("n", "<i8")])
 
 
@@ -132,7 +134,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
 
     end = b"" if end_id is None else struct.pack("<H", end_id)
     rows = docs.select(docs[doc_id].cast("bigint").alias("id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
+    # Files of bounded size, whatever the session's number of shuffle partitions. What Spark can't estimate, such as
+    # rows from the driver, it takes for larger than anything.
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(max(parts, -(-size // FILE_BYTES)) if size < 1 << 55 else parts, "id").sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
 
     def run(batches):
         own, batch = tokenizer(tokenizer_path), next(batches, None)
