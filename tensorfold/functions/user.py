@@ -31,9 +31,9 @@ def neighbors(f: Field, offsets: Sequence[tuple[int, int, int]], border: str = C
     """For each point, the values at (layer, row, col) offsets as a vector: neighbour reads for ``point_operator``."""
     check(not f.tensor and f.type.kind == "real", "a scalar field")
     taps = list(offsets)
-    rows = contributions(f.df(), taps, f.type.sizes, f.type.sizes, border).groupBy(*COORDS)
+    sent, keys = contributions(f.df(), taps, f.type.sizes, f.type.sizes, border)
     read = [F.coalesce(F.max(F.when(F.col("k") == i, F.col("v"))), F.lit(0.0)) for i in range(len(taps))]
-    return Field.from_df(rows.agg(F.array(*read).alias("v")), f.type.with_(tensor=(len(taps),)))
+    return Field.from_df(sent.groupBy(*keys).agg(F.array(*read).alias("v")), f.type.with_(tensor=(len(taps),)))
 
 
 def scatter(f: Field, to: Callable[[Column], Column | Sequence[Column]], how: str, shape: Sequence[int]) -> Field:

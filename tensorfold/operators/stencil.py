@@ -2,8 +2,9 @@
 
 One engine serves nearly all. Every point sends its value, with the number of the tap, to the points whose
 neighbour it is; an aggregation by target combines them. Borders are resolved at the sender: a point on the edge
-also stands in for the virtual points beyond. Aggregation starts before the shuffle, so with points in
-coordinate order about one row for each point is shuffled, whatever the number of taps; there is no join.
+also stands in for the virtual points beyond. Points are first dealt into square tiles of targets, those near a tile's
+edge into each tile that reads them. Taps are sent, and sums made, within tiles: what is shuffled is one row
+for each point and a few for the edges, whatever the number of taps, and there is no join.
 """
 
 from __future__ import annotations
@@ -26,9 +27,14 @@ Taps = Sequence[tuple[int, int, int]]
 MOST_TAPS = 1 << 14
 
 
-def contributions(df: DataFrame, taps: Taps, sizes, out_sizes, border: str, up: int = 1, down: int = 1) -> DataFrame:
-    """(layer, row, col) of the target and ``k``, the tap, besides the columns of ``df``, for every value that a target
-    reads at ``down * target + tap`` of the input with ``up - 1`` zeros after each point."""
+#: Targets along the side of a tile.
+TILE = 128
+
+
+def contributions(df: DataFrame, taps: Taps, sizes, out_sizes, border: str, up: int = 1, down: int = 1) -> tuple[DataFrame, list[str]]:
+    """Rows with (layer, row, col) of the target and ``k``, the tap, besides the columns of ``df``, for every value that a
+    target reads at ``down * target + tap`` of the input with ``up - 1`` zeros after each point; and the columns to group
+    by: the coordinates, and the tiles the rows are already dealt by."""
     for axis, c in enumerate(COORDS):
         n, m = sizes[axis] * up if sizes[axis] > 1 else 1, out_sizes[axis]
         low, high = min(t[axis] for t in taps), down * (m - 1) + max(t[axis] for t in taps) + 1
@@ -44,6 +50,16 @@ def contributions(df: DataFrame, taps: Taps, sizes, out_sizes, border: str, up:
             df = df.withColumn("_at", F.sequence(start, F.greatest(start, F.lit(high - 1)), F.lit(n))).withColumn(c, F.explode("_at")).drop("_at")
         elif up > 1:
             df = df.withColumn(c, x)
+    tiles = []
+    for axis, c in enumerate(COORDS):
+        if axis and out_sizes[axis] > TILE:
+            step = down if sizes[axis] > 1 else 1
+            first = F.greatest(F.lit(0), F.floor((F.col(c) - max(t[axis] for t in taps)) / (step * TILE))).cast("int")
+            last = F.least(F.lit((out_sizes[axis] - 1) // TILE), F.floor((F.col(c) - min(t[axis] for t in taps)) / (step * TILE))).cast("int")
+            df = df.withColumn(f"_tile_{c}", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+            tiles.append(f"_tile_{c}")
+    if tiles:
+        df = df.repartition(*tiles)
     steps = F.array(*[F.struct(*[F.lit(int(v)).alias(f"d{i}") for i, v in enumerate(t)], F.lit(k).alias("k")) for k, t in enumerate(taps)])
     df = df.withColumn("_t", F.explode(steps))
     inside = F.lit(True)
@@ -54,14 +70,16 @@ def contributions(df: DataFrame, taps: Taps, sizes, out_sizes, border: str, up:
             at = F.floor(at / down).cast("int")
         df = df.withColumn(f"_{c}", at)
         inside = inside & F.col(f"_{c}").between(0, out_sizes[axis] - 1)
+        if f"_tile_{c}" in tiles:
+            inside = inside & (F.floor(F.col(f"_{c}") / TILE) == F.col(f"_tile_{c}"))
     others = [c for c in df.columns if c not in (*COORDS, "_t", *(f"_{c}" for c in COORDS))]
-    return df.where(inside).select(*[F.col(f"_{c}").alias(c) for c in COORDS], F.col("_t.k").alias("k"), *others)
+    return df.where(inside).select(*[F.col(f"_{c}").alias(c) for c in COORDS], F.col("_t.k").alias("k"), *others), [*tiles, *COORDS]
 
 
 def _gathered(f: Field, taps: Taps, border: str, agg: Callable[[Column, Column], Column], type: FieldType | None = None) -> Field:
     """A field of the same shape: at each point an aggregate of (value, tap) of its neighbours."""
-    rows = contributions(f.df(), taps, f.type.sizes, f.type.sizes, border)
-    return Field.from_df(rows.groupBy(*COORDS).agg(agg(F.col("v"), F.col("k")).alias("v")), type or f.type)
+    rows, keys = contributions(f.df(), taps, f.type.sizes, f.type.sizes, border)
+    return Field.from_df(rows.groupBy(*keys).agg(agg(F.col("v"), F.col("k")).alias("v")), type or f.type)
 
 
 # ---- convolution -----------------------------------------------------------------------------------------------
@@ -130,7 +148,7 @@ def _convolve(f: Field, kernel: Field, border: str, flip: bool, sampling: Sampli
         df0 = f.df().withColumn("_w", whole)
         weights = F.col("_w") if kernel.tensor else F.transform(F.col("_w"), lambda x: F.array(x))
     df = f.df() if literal is not None else df0
-    rows = contributions(df, taps, f.type.sizes, (1,) * pad + tuple(out), ZERO if border in (VALID, FULL) else border, up_image, sampling.down)
+    rows, keys = contributions(df, taps, f.type.sizes, (1,) * pad + tuple(out), ZERO if border in (VALID, FULL) else border, up_image, sampling.down)
     rows = rows.withColumn("_w", F.element_at(weights, F.col("k") + 1))
     x = (lambda p: F.get("v", F.lit(p))) if f.tensor else (lambda p: F.col("v"))
     y = lambda q: F.get("_w", F.lit(q))
@@ -151,7 +169,7 @@ def _convolve(f: Field, kernel: Field, border: str, flip: bool, sampling: Sampli
 
     sums = [total(of) for of in pairs]
     value = (F.array(*sums) if tensor else sums[0]).alias("v")
-    return _dense(rows.groupBy(*COORDS).agg(value), FieldType(tuple(out), tensor, kind), f, sampling, border)
+    return _dense(rows.groupBy(*keys).agg(value), FieldType(tuple(out), tensor, kind), f, sampling, border)
 
 
 def _dense(df: DataFrame, t: FieldType, f: Field, sampling: Sampling, border: str) -> Field:
@@ -324,7 +342,8 @@ def bilateral_filter(f: Field, spatial, range_sigma: float) -> Field:
     def agg(v: Column, k: Column) -> Column:
         return F.struct(_pivot(v, k, middle).alias("x"), F.collect_list(F.struct(k.alias("k"), v.alias("v"))).alias("n"))
 
-    rows = contributions(f.df(), taps, f.type.sizes, f.type.sizes, CLAMP).groupBy(*COORDS).agg(agg(F.col("v"), F.col("k")).alias("a"))
+    sent, keys = contributions(f.df(), taps, f.type.sizes, f.type.sizes, CLAMP)
+    rows = sent.groupBy(*keys).agg(agg(F.col("v"), F.col("k")).alias("a"))
     center = F.col("a.x")
     term = lambda e: F.element_at(weights, e.k + 1) * F.exp((center - e.v) * (center - e.v) * (-1 / range_sigma**2)) * scale
     sums = F.aggregate("a.n", F.struct(const(0).alias("w"), const(0).alias("x")), lambda acc, e: F.struct((acc.w + term(e)).alias("w"), (acc.x + term(e) * e.v).alias("x")))
@@ -337,7 +356,8 @@ def bilateral_filter(f: Field, spatial, range_sigma: float) -> Field:
 def _combination(f: Field, taps: Taps, border: str, weights: Sequence[Sequence[float]], cover: Column | None = None) -> Field:
     """Vectors of weighted sums of the taps; ``cover`` says where, elsewhere they are 0."""
     sums = [F.sum(F.element_at(F.array(*[const(w) for w in ws]), F.col("k") + 1) * F.col("v")) for ws in weights]
-    rows = contributions(f.df(), taps, f.type.sizes, f.type.sizes, border).groupBy(*COORDS).agg(F.array(*sums).alias("v"))
+    sent, keys = contributions(f.df(), taps, f.type.sizes, f.type.sizes, border)
+    rows = sent.groupBy(*keys).agg(F.array(*sums).alias("v"))
     if cover is not None:
         rows = rows.withColumn("v", F.when(cover, F.col("v")).otherwise(fill(f.type.with_(tensor=(len(weights),)))))
     return Field.from_df(rows, f.type.with_(tensor=(len(weights),)))
@@ -369,7 +389,8 @@ def backward_divergence(f: Field) -> Field:
     taps = [(0, 0, 0), (0, -1, 0), (0, 0, -1)]
     v, k = F.col("v"), F.col("k")
     last_row, last_col = F.col("row") == f.shape[0] - 1, F.col("col") == f.shape[1] - 1
-    rows = contributions(f.df(), taps, f.type.sizes, f.type.sizes, ZERO).groupBy(*COORDS).agg(
+    sent, keys = contributions(f.df(), taps, f.type.sizes, f.type.sizes, ZERO)
+    rows = sent.groupBy(*keys).agg(
         F.sum(F.when(k == 0, F.get(v, F.lit(0)) + F.get(v, F.lit(1)))).alias("here"),
         F.sum(F.when(k == 1, F.get(v, F.lit(0))).otherwise(0)).alias("up"),
         F.sum(F.when(k == 2, F.get(v, F.lit(1))).otherwise(0)).alias("left"),
@@ -490,9 +511,9 @@ def subfields(f: Field, diameter: int) -> Field:
     check(diameter % 2 == 1 and diameter <= 15 and max(f.shape) <= 64, "fields of up to 64 and windows of up to 15 a side")
     rows, cols = (n - diameter + 1 for n in f.shape)
     windows = [(0, r, c) for r in range(rows) for c in range(cols)]
-    sent = contributions(f.df(), windows, f.type.sizes, (1, diameter, diameter), ZERO)
+    sent, keys = contributions(f.df(), windows, f.type.sizes, (1, diameter, diameter), ZERO)
     planes = F.transform(F.sort_array(F.collect_list(F.struct("k", "v"))), lambda x: x.v)
-    return Field.from_df(sent.groupBy(*COORDS).agg(planes.alias("v")), FieldType((diameter, diameter), (rows * cols,)))
+    return Field.from_df(sent.groupBy(*keys).agg(planes.alias("v")), FieldType((diameter, diameter), (rows * cols,)))
 
 
 # ---- random numbers --------------------------------------------------------------------------------------------
