@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorfold.llm import mixing, sentencepiece_codec, simhash, toxicity
+from tensorfold.llm import mixing, near_copies, sentencepiece_codec, toxicity
 from tensorfold.llm.common import staged
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the least id."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that with the least id."""
+    return near_copies.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

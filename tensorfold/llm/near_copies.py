@@ -1,0 +1,127 @@
+"""Near copies by word shingles: all pairs of texts whose sets of five-word shingles have a similarity of 0.8 or more.
+
+Candidates share a bucket: ``BANDS`` buckets a text, each of ``ROWS`` least values of its shingles under random
+permutations. A pair of similarity exactly 0.8 shares none with a probability of (1 - 0.8^4)^24, about 3 in a
+million, and more similar ones more rarely. Candidates are compared by their whole shingle sets, so no pair below
+0.8 is linked. Shingles are compared by their XXH64.
+
+First every text of a bucket is compared with the bucket's least; then all pairs of a bucket that these links
+don't already connect. So a large group of copies takes about as many comparisons as it has members, and none
+that could join two groups is left out.
+
+Texts with equal sets are one node, also all without words. Rows with a null id never name a component.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import staged
+from .components import connected_components
+
+SHINGLE = 5
+BANDS, ROWS = 24, 4
+_RNG = np.random.default_rng(7)
+_A, _B = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+_A |= np.uint64(1)
+_MIX = _RNG.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+_SHIFT = _RNG.integers(0, 1 << 64, BANDS, np.uint64)
+_CHUNK = 1 << 12
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; a shorter text is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else iter([b" ".join(w)])
+    return np.unique(np.fromiter((xxh64_intdigest(g, 42) for g in grams), np.uint64))
+
+
+def digest(h: np.ndarray) -> int:
+    """One signed long for a set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    return int(np.array(xxh64_intdigest(h.tobytes(), 42) if len(h) else 0, np.uint64).view(np.int64))
+
+
+def buckets(h: np.ndarray) -> np.ndarray:
+    """The buckets of a set, one a band; none of the empty set."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.min([(h[lo : lo + _CHUNK, None] * _A + _B).min(axis=0) for lo in range(0, len(h), _CHUNK)], axis=0)
+    return ((least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) + _SHIFT).view(np.int64)
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, shingle: int, last: str, kind: str, make) -> DataFrame:
+    """(id, fp, n, ``last``) of each row, ``last`` made of its shingles; whole texts, no shuffle."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [shingles(t, shingle) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([digest(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([make(h) for h in sets], pa.list_(pa.int64()))],
+                    names=["id", "fp", "n", last],
+                )
+
+    return docs.select(docs[doc_id].cast("bigint").alias("id"), docs[text].cast("string").alias("t")).mapInArrow(run, f"id bigint, fp bigint, n bigint, {last} {kind}")
+
+
+def links(each: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) that connect all nodes ``fp`` whose similarity is 0.8 or more, through such pairs only.
+
+    ``each`` has fp, n and buckets, ``sets`` fp and s; both may repeat.
+    """
+    nodes = each.groupBy("fp", "n").agg(F.first("buckets").alias("buckets"))
+    spread = staged(nodes.select("fp", "n", F.explode("buckets").alias("bucket")), "buckets")
+    shared = spread.groupBy("bucket").agg(F.min("fp").alias("lead"), F.min_by("n", "fp").alias("lead_n"), F.count("*").alias("k")).where("k > 1").drop("k")
+    members = staged(spread.join(shared, "bucket"), "members")
+    wanted = members.select(F.col("fp").alias("w")).distinct()
+    held = staged(sets.select("fp", "s").join(wanted, F.col("fp") == F.col("w"), "left_semi").dropDuplicates(["fp"]), "sets")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("5 * least(m, n) >= 4 * greatest(m, n)").distinct()
+        both = pairs.join(held.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+        # |x & y| / |x | y| >= 4 / 5 in integers.
+        return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("m") + F.col("n"))).select("a", "b")
+
+    first = staged(similar(members.where("lead < fp").select(F.col("lead").alias("a"), F.col("fp").alias("b"), F.col("lead_n").alias("m"), "n")), "first_links")
+    found = connected_components(first)
+    grouped = members.join(found, F.col("fp") == F.col("node"), "left").select("bucket", "fp", "n", "lead", F.coalesce("component", "fp").alias("c"))
+    grouped = staged(grouped, "grouped")
+    mixed = grouped.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("bucket")
+    open_ = staged(grouped.join(mixed, "bucket", "left_semi"), "open")
+    x = open_.select("bucket", F.col("fp").alias("a"), F.col("n").alias("m"), F.col("c").alias("ca"), "lead")
+    y = open_.select(F.col("bucket").alias("other"), F.col("fp").alias("b"), "n", F.col("c").alias("cb"))
+    # Pairs with the bucket's least were compared before.
+    rest = x.join(y, (F.col("bucket") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("lead")) & F.expr("5 * least(m, n) >= 4 * greatest(m, n)"))
+    return first.unionByName(similar(rest.select("a", "b", "m", "n")))
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each group of near copies: that with the least id.
+
+    Rows with a null id stay, as nothing can name them. Repeated rows of a kept id become one.
+    """
+    each = staged(_rows(docs, doc_id, text, shingle, "buckets", "array<bigint>", lambda h: buckets(h)), "shingles")
+    sets = _rows(docs, doc_id, text, shingle, "s", "array<bigint>", lambda h: h.view(np.int64))
+    found = connected_components(links(each, sets))
+    distinct = each.groupBy("fp").agg(F.min("id").alias("first"))
+    named = staged(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("top")), "named")
+    least = staged(named.groupBy("top").agg(F.min("first").alias("kept")), "least")
+    by_fp = staged(named.join(least, "top").select(F.col("fp").alias("_fp"), "kept"), "kept")
+    rows = each.join(by_fp, each["fp"] == by_fp["_fp"]).where("id is not null")
+    ids = rows.groupBy("id").agg(F.max(F.col("id") == F.col("kept")).alias("stays"))
+    gone = ids.where("not stays").select(F.col("id").alias("_gone_id"))
+    stay = docs.join(gone, docs[doc_id].cast("bigint") == gone["_gone_id"], "left_anti")
+    # Only if ids repeat are texts shuffled to make one row of several.
+    if docs.where(docs[doc_id].isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
+        return stay
+    return stay.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(stay.where(F.col(doc_id).isNull()))

@@ -1,0 +1,53 @@
+"""The pipeline's near copies against all pairs."""
+
+import random
+
+from tensorfold.llm import near_copies
+
+
+def plain_sets(texts):
+    out = []
+    for text in texts:
+        w = (text or "").encode().lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return out
+
+
+def survivors(rows):
+    """Least ids of the components over all pairs with a Jaccard similarity of 0.8 or more."""
+    sets, least = plain_sets([t for _, t in rows]), [i for i, _ in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while True:
+        new = list(least)
+        for i, j in near:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == least:
+            return {i for (i, _), k in zip(rows, least) if i == k}
+        least = new
+
+
+def test_edited_copies_go(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 100, 300]))]
+        texts.append(" ".join(w))
+        for edits in (1, 2, 4, 8):
+            v = list(w)
+            for at in rng.sample(range(len(v)), edits):
+                v[at] = "edited"
+            texts.append(" ".join(v))
+    texts += ["", None, "one two", "One  two", texts[0].upper()]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in near_copies.near_dedup(docs).collect()} == survivors(rows)
+    assert near_copies.near_dedup(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stage_by_all_pairs(spark, tiny):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, tiny).collect()}
+    assert kept == survivors([(r.doc_id, r.text) for r in docs.collect()])
