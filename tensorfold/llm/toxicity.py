@@ -5,6 +5,9 @@ as further features so that inflected forms share evidence, gives the probabilit
 ``1 - prod(1 - q)``. Only documents carry labels, so the sentence model is trained through the noisy-or, and
 then tells which sentences offend.
 
+Scoring bounds what sentences below one half add together by ``MOST_BACKGROUND``: every sentence has some
+probability, and without the bound a text would become toxic by its length alone.
+
 The model is fitted on the driver from a bounded sample of labelled documents (``sample_per_class`` of each
 class, chosen by hash). Scoring reads every text whole, in one pass without a shuffle.
 
@@ -34,6 +37,8 @@ def words(sentence: str) -> set[str]:
 
 #: Lengths of the prefixes that are features besides the word.
 PREFIXES = (4, 5, 6)
+#: What the sentences that don't offend by themselves add to -log(1 - score) at most: with it, the score is 0.45.
+MOST_BACKGROUND = 0.6
 #: Words a model remembers the weight of.
 _MEMORY = 100_000
 
@@ -64,19 +69,21 @@ class ToxicityModel:
         """The document's probability, and (begin, end, probability) of the sentences at 0.5 or more."""
         if self.prior is not None:
             return self.prior, []
-        text, quiet, offending, calm = text or "", 0, [], 0.0
+        text, quiet, offending, calm, background = text or "", 0, [], 0.0, 0.0
         hot = {w: z for w in words(text) if (z := self.word(w))}
         # Sentences without a weighted word all have the bias alone; only the others are looked at one by one.
         for m in _SENTENCE.finditer(text):
             if hot and (hit := words(m[0]) & hot.keys()):
                 z = self.bias + sum(sorted(hot[w] for w in hit))
-                calm += _softplus(z)
-                if z >= 0:
+                if z < 0:
+                    background += _softplus(z)
+                else:
+                    calm += _softplus(z)
                     offending.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
             else:
                 quiet += 1
-        calm += max(quiet, not text) * _softplus(self.bias)
-        return -math.expm1(-calm), offending
+        background += max(quiet, not text) * _softplus(self.bias)
+        return -math.expm1(-calm - min(background, MOST_BACKGROUND)), offending
 
 
 def _softplus(z: float) -> float:
