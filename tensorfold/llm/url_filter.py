@@ -4,6 +4,7 @@ Pages with a known outcome are counted by host. A beta-binomial prior shrinks ea
 domain (the last two labels), the domain to its suffix (the last label) and the suffix to the whole; how
 strongly is estimated at each level from how much its groups differ. A host is blocked if the lower bound of
 its posterior rate of bad pages is over ``block_above``: few outcomes never suffice against a good domain.
+A host without outcomes has the posterior of none: the rate of its domain, else its suffix, else the whole.
 
 Rules (host, path) come first: a rule fits its host and all subdomains if the path starts with the rule's; the
 longest rule wins. They are a short list given by the caller and become one expression.
@@ -69,18 +70,29 @@ def _strength(groups: DataFrame) -> float:
     return sums.select(F.when(usable, kappa).otherwise(F.lit(most))).first()[0]
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, rate, bound) of every host of ``outcomes`` (host, bad 0/1): the posterior mean and lower bound."""
+def host_reputation(outcomes: DataFrame, hosts_asked: DataFrame | None = None) -> DataFrame:
+    """(host, n, bad, rate, bound) of every host of ``outcomes`` (host, bad 0/1): the posterior mean and lower bound.
+
+    Hosts of ``hosts_asked`` (host, distinct) without outcomes have n = 0; without any outcomes there are no rows.
+    """
     hosts = outcomes.where("bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = staged(hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)), "hosts")
+    levels = F.substring_index("host", ".", -2).alias("domain"), F.substring_index("host", ".", -1).alias("suffix")
+    hosts = staged(hosts.select("*", *levels), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # Five numbers, whatever the input.
     all_bad, all_n = suffixes.agg(F.sum("bad").cast("double"), F.sum("n").cast("double")).first()
     k_suffix, k_domain, k_host = (F.lit(_strength(groups)) for groups in (suffixes, domains, hosts))
-    s = suffixes.select(F.col("suffix").alias("s"), ((F.col("bad") + k_suffix * all_bad / all_n) / (F.col("n") + k_suffix)).alias("s_rate")) if all_n else suffixes.select(F.col("suffix").alias("s"), F.lit(0.0).alias("s_rate"))
+    whole = F.lit(all_bad / all_n if all_n else 0.0)
+    s = suffixes.select(F.col("suffix").alias("s"), ((F.col("bad") + k_suffix * whole) / (F.col("n") + k_suffix)).alias("s_rate"))
     d = domains.join(s, F.col("suffix") == F.col("s")).select(F.col("domain").alias("d"), ((F.col("bad") + k_domain * F.col("s_rate")) / (F.col("n") + k_domain)).alias("d_rate"))
-    h = hosts.join(d, F.col("domain") == F.col("d")).withColumn("rate", (F.col("bad") + k_host * F.col("d_rate")) / (F.col("n") + k_host))
+    h = hosts.join(d, F.col("domain") == F.col("d")).select("host", "n", "bad", "d_rate")
+    if hosts_asked is not None and all_n:
+        new = hosts_asked.join(hosts.select("host"), "host", "left_anti").select("host", *levels)
+        # A domain without outcomes has its suffix's rate, a suffix without outcomes the whole's.
+        new = new.join(d, F.col("domain") == F.col("d"), "left").join(s, F.col("suffix") == F.col("s"), "left")
+        h = h.unionByName(new.select("host", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("bad"), F.coalesce("d_rate", "s_rate", whole).alias("d_rate")))
+    h = h.withColumn("rate", (F.col("bad") + k_host * F.col("d_rate")) / (F.col("n") + k_host))
     h = h.withColumn("bound", F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + k_host + 1)))
     return h.select("host", "n", "bad", "rate", "bound")
 
@@ -88,14 +100,14 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url", block_above: float = BLOCK_ABOVE) -> DataFrame:
     """(page_id, host, path, rule, verdict, bound) of each row of ``pages``; ``outcomes`` has page_id and bad (0/1).
 
-    Only urls are read. Hosts without outcomes are allowed: nothing is known against them.
+    Only urls are read. Without any outcomes all hosts are allowed: nothing is known against them.
     """
     host, path = split_url(pages[url])
     parsed = pages.select(pages[page_id].alias("page_id"), host.alias("host"), path.alias("path"))
     known = outcomes.where("page_id is not null and bad is not null").groupBy(F.col("page_id").alias("o_id")).agg(F.max("bad").alias("bad"))
     seen = parsed.join(known, F.col("page_id") == F.col("o_id")).select("host", "bad")
     # A staged table, so that a join with it splits a host that has a third of all pages.
-    bounds = staged(host_reputation(seen).select(F.col("host").alias("h"), "bound"), "bounds")
+    bounds = staged(host_reputation(seen, parsed.select("host").distinct()).select(F.col("host").alias("h"), "bound"), "bounds")
     judged = parsed.join(bounds, F.col("host") == F.col("h"), "left").withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("bound") > block_above, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), own).alias("verdict"), "bound")
