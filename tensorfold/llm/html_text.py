@@ -48,6 +48,10 @@ _ATTRS = r"""(?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?+|["'])*+"""
 _TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*){_ATTRS}>|<([a-zA-Z][^\s/>]*)({_ATTRS})>", re.S)
 _ATTR = re.compile(r"""([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: Blocks whose rules may not apply on a screen, up to the brace; what their braces hold is skipped.
+_BLOCK = re.compile(r"@(?!layer\b|font-face\b|page\b)[\w-]+[^{};@]*\{", re.I)
+_BRACE = re.compile(r"[{}]")
+_SCREEN = frozenset(("", "all", "screen"))
 _HIDES = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 MOST_INDENTS, WIDE = 20, 60
@@ -136,6 +140,24 @@ def parse(html: str) -> Element:
     return root
 
 
+def _unconditional(sheet: str) -> str:
+    """A style sheet without its comments and the conditional blocks that may not apply to a screen."""
+    sheet, at, out = re.sub(r"/\*.*?\*/", "", sheet, flags=re.S), 0, []
+    while m := _BLOCK.search(sheet, at):
+        if re.fullmatch(r"@media\s+(?:only\s+)?(?:screen|all)\s*\{", m[0], re.I):
+            out.append(sheet[at : m.end()])
+            at = m.end()
+            continue
+        out.append(sheet[at : m.start()])
+        depth, at = 1, m.end()
+        while depth and (b := _BRACE.search(sheet, at)):
+            depth += 1 if b[0] == "{" else -1
+            at = b.end()
+        if depth:
+            at = len(sheet)
+    return "".join([*out, sheet[at:]])
+
+
 class Hidden:
     """Which elements a page's own rules hide: ``hidden``, inline styles, and sheets' tag, class and id selectors."""
 
@@ -144,8 +166,8 @@ class Hidden:
         todo = [root]
         while todo:
             e = todo.pop()
-            if e.tag == "style":
-                for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", "".join(e.children), flags=re.S)):
+            if e.tag == "style" and not _SCREEN.isdisjoint(x.strip().lower() for x in e.attrs.get("media", "").split(",")):
+                for selectors, body in _RULE.findall(_unconditional("".join(e.children))):
                     if _HIDES.search(body):
                         for s in map(str.strip, selectors.split(",")):
                             if m := re.fullmatch(r"([.#]?)([\w-]+)", s):
