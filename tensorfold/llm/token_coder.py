@@ -1,18 +1,21 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-A block holds up to ``BLOCK`` ids, starts from an empty model, and carries the CRC-32 of its ids. Three models
-predict the next id itself: order 2 and order 1 remember what last followed the last two ids and the last one, with
-a confidence; order 0 keeps the commonest id by majority vote. What is coded is a symbol: which model was right,
-or else the id's octave (order 0), whose remaining bits follow evenly. The symbol's distribution mixes two
-adaptive ones, chosen by the confidences of order 2 and order 1, with a weight that follows whichever does better.
-
-Blocks are independent, so numpy codes thousands in lockstep, one id of each at a time; integers only, so what is
-read is what was written on any machine. Little-endian file format:
-
-    "TFID", version byte 1, 3 zero bytes
-    for each block: uint32 ids, uint32 16-bit words of code, uint32 CRC-32 of the ids as uint32, then the words
-    index: for each document int64 id, uint8 is it null, int64 ids before it in the file, int64 ids
-    uint64 documents, uint64 blocks, uint64 ids, uint64 offset of the index, "TFIX"
+A block holds up to ``BLOCK`` ids, starts from an empty model, and carries the CRC-32 of its ids and the list of its
+distinct ids, whose places in that list are what is coded. The probability of a place mixes three models: order 2
+and order 1 name the place that last followed the last two ids and the last one, each with a confidence that grows
+while it is right; order 0 holds the counts of all places so far. How the three share the probability is learnt for
+each pair of confidences. Order 2 and 1 learn from every id, counts and shares at the points of ``POINTS``.
+
+Blocks don't depend on each other, so numpy codes thousands in lockstep, one id of each at a time. Whatever decides
+about bits is an integer or one correctly rounded product, so what is read is what was written on any machine.
+Little-endian format of a group of blocks, whose distinct ids together are its alphabet:
+
+    uint32 ids, blocks, ids of a block (the last may have fewer), letters, bytes of the alphabet, bytes of the lists,
+    words of code
+    alphabet: the gaps between its letters; lists: the gaps between each block's places in the alphabet; both in Rice
+    code: uint32 low bits k, uint32 bytes of the unary part, that part as bits, then the low bits
+    by block: uint32 CRC-32 of the ids as uint32, uint16 places, uint16 words of code
+    uint32 words of code, block after block
 """
 
 from __future__ import annotations
@@ -23,261 +26,320 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 2048
-MAGIC, TAIL = b"TFID\x01\0\0\0", b"TFIX"
+BLOCK = 4096
 #: Blocks coded in lockstep at once.
-LANES = 6144
-_SLOT_BITS = 11
+LANES = 2048
+#: After how many ids counts and shares are taken anew.
+POINTS = (64, 128, 256, 512, 1024, 2048)
+#: Order 0 and the shares each are of 2**12; a place needs 2 more bits for its confidence.
+_BITS, _SURE = 12, 3
+_TOTAL = 1 << _BITS
+_SLOT_BITS = 13
 _SLOTS = 1 << _SLOT_BITS
-#: A distribution is of 2**12, moves by 1/32 at a time and never lets a symbol fall below 2; weights are of 16.
-_TOTAL_BITS, _FLOOR, _RATE, _LEVELS, _WEIGHT_BITS = 12, 2, 5, 4, 4
-_HITS = 3
-#: Columns of a distribution's row: 64 bytes.
-_ROW = 32
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-_16, _48 = np.uint64(16), np.uint64(48)
-_SUM_BITS = np.uint64(_TOTAL_BITS + _WEIGHT_BITS)
-
-
-def _octaves() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol of each 16-bit id, first id and remaining bits by symbol): octaves of id + 256, halved above 512."""
-    starts, bits = [], []
-    at, n = 0, 4
-    while at < 1 << 16:
-        starts.append(at)
-        bits.append(n)
-        at += 1 << n
-        if at >= 512 and at & (at - 1) == 0:
-            n += 1
-        elif at < 512 and at & (at - 1) == 0 and at >= 64:
-            n += 1
-    symbol = np.repeat(np.arange(len(starts)), np.diff([*starts, 1 << 16])) + _HITS
-    pad = [0] * _HITS
-    return symbol.astype(np.int64), np.array(pad + starts, np.int64), np.array(pad + bits, np.uint64)
-
-
-_SYMBOL, _BASE, _BITS = _octaves()
-_N = len(_BASE)
-_SPREAD = np.minimum(np.arange(_ROW), _N)
-#: By symbol, the cumulative frequencies that an update moves towards; what is past the last symbol stays full.
-_TARGET = np.array([np.where(_SPREAD <= s, _SPREAD * _FLOOR, (1 << _TOTAL_BITS) - (_N - _SPREAD) * _FLOOR) for s in range(_N)], np.int16)
-_UNIFORM = (_SPREAD * (1 << _TOTAL_BITS) // _N).astype(np.int16)
+_MASK = np.int64(_SLOTS - 1)
+#: The window of 63 bits and the words of 32 that leave it.
+_LOW_WORD, _31, _32 = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(32)
+_LEAST = np.uint64(1 << 31)
+_WORD = np.uint64((1 << 32) - 1)
+_STEP = np.uint64(2 * _BITS)
+#: So that a sum that rounding left just below a whole number counts as that.
+_ROUND = 1e-6
+_HEAD = struct.Struct("<7I")
+
+
+def _first_shares() -> np.ndarray:
+    """Counts to begin with by confidences of order 2 and 1, then outcome: order 2 right, order 1 right, neither."""
+    counts = np.zeros((_SURE + 1, _SURE + 1, 3))
+    for two in range(_SURE + 1):
+        for one in range(_SURE + 1):
+            counts[two, one] = (two if two else 0, one * 0.5 if one else 0, 4)
+    return counts.reshape(-1, 3)
+
+
+_SHARES = _first_shares()
+_CONTEXTS = len(_SHARES)
+_POSSIBLE = _SHARES > 0
 
 
 class _Model:
-    """The predictions of all lanes."""
+    """The state of all lanes; ``sizes`` are the numbers of places of their blocks."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, sizes: np.ndarray):
+        lanes = len(sizes)
+        self.sizes, self.width = sizes, int(sizes.max())
         lane = np.arange(lanes)
-        self.one, self.two = np.zeros(lanes * _SLOTS, np.uint32), np.zeros(lanes * _SLOTS, np.uint32)
-        self.row, self.level, self.cell = lane * _SLOTS, lane * _LEVELS, lane * _ROW
-        # Rows of 64 bytes as single items, which numpy takes and puts fastest.
-        self.by_two, self.by_one = (np.tile(_UNIFORM, lanes * _LEVELS).view("V64") for _ in range(2))
-        self.common, self.votes = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.weight = np.full(lanes, 8 << 8, np.int64)
+        self.row0, self.row2, self.row_shares = lane * self.width, lane * _SLOTS, lane * (4 * _CONTEXTS)
+        self.one, self.two = np.zeros(lanes * self.width, np.uint16), np.zeros(lanes * _SLOTS, np.uint16)
         self.last = self.before = np.zeros(lanes, np.int64)
-        self.flags = np.zeros((lanes, _ROW), bool)
-
-    def cut(self, n: int) -> None:
-        """Forget all lanes but the first n."""
-        for name, per in (("one", _SLOTS), ("two", _SLOTS), ("row", 1), ("level", 1), ("cell", 1), ("by_two", _LEVELS), ("by_one", _LEVELS), ("common", 1), ("votes", 1), ("weight", 1), ("last", 1), ("before", 1), ("flags", 1)):
-            setattr(self, name, getattr(self, name)[: n * per])
+        self.counts = np.where(np.arange(self.width) < sizes[:, None], 1.0, 0.0)
+        self.outcomes = np.tile(_SHARES, (lanes, 1, 1))
+        self.places, self.seen = [], []
+        self.settle()
+
+    def settle(self) -> None:
+        """Take the counts and shares of the ids so far."""
+        lanes = len(self.sizes)
+        if self.places:
+            miss = np.concatenate(self.places)
+            self.counts += 2.0 * np.bincount(miss, minlength=self.counts.size + 1)[:-1].reshape(self.counts.shape)
+            self.outcomes += np.bincount(np.concatenate(self.seen), minlength=lanes * 4 * _CONTEXTS).reshape(lanes, _CONTEXTS, 4)[:, :, :3]
+            self.places, self.seen = [], []
+        # Every place keeps one part; the others go by counts.
+        total = np.cumsum(self.counts, axis=1)
+        upto = np.minimum(np.arange(1, self.width + 1), self.sizes[:, None])
+        cum = np.zeros((lanes, self.width + 1), np.int64)
+        cum[:, 1:] = upto + np.floor(total * ((_TOTAL - self.sizes) / total[:, -1])[:, None] + _ROUND).astype(np.int64)
+        self.freq = np.diff(cum, axis=1)
+        #: By lane and place: first part and parts; the last item stands for a place that another order has named.
+        self.parts = np.append(((cum[:, :-1] << _BITS + 1) | self.freq).ravel(), _TOTAL).astype(np.uint32)
+        shares = np.cumsum(self.outcomes, axis=2)
+        least = np.cumsum(_POSSIBLE, axis=1)
+        bound = np.zeros((lanes, _CONTEXTS, 4), np.int64)
+        bound[:, :, 1:] = least + np.floor(shares * ((_TOTAL - least[:, -1]) / shares[:, :, -1])[:, :, None] + _ROUND).astype(np.int64)
+        #: By lane, confidences and outcome: first part and parts.
+        self.share = np.zeros((lanes, _CONTEXTS, 4), np.uint64)
+        self.share[:, :, :3] = (bound[:, :, :3] << _BITS + 1) | np.diff(bound, axis=2)
+        self.share = self.share.ravel()
+        self.bounds = bound[:, :, 1].astype(np.int32).ravel(), bound[:, :, 2].astype(np.int32).ravel()
+
+    def slots(self) -> np.ndarray:
+        """By lane and part of order 0, the place."""
+        return np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), len(self.sizes)), self.freq.ravel())
 
     def predict(self) -> None:
-        """Look up what each order says: ids, confidences and the two distributions."""
-        hashed = self.last * 40503
-        self.at1 = (hashed >> 4 & (_SLOTS - 1)) + self.row
-        self.at2 = (hashed + self.before * 30011 >> 5 & (_SLOTS - 1)) + self.row
-        one, two = self.one.take(self.at1), self.two.take(self.at2)
-        # An order that has nothing to say is given an id that isn't one.
-        self.sure1, self.sure2 = (one >> 16).astype(np.int64), (two >> 16).astype(np.int64)
-        self.id1, self.id2 = np.where(one == 0, 1 << 16, one & 0xFFFF), np.where(two == 0, 1 << 16, two & 0xFFFF)
-        self.r2, self.r1 = self.level + self.sure2, self.level + self.sure1
-        self.c2, self.c1 = (t.take(r).view(np.int16).reshape(-1, _ROW) for t, r in ((self.by_two, self.r2), (self.by_one, self.r1)))
-        self.w = self.weight >> 8
-
-    def symbol(self, ids: np.ndarray) -> np.ndarray:
-        """The first order that is right and has something to say, else the id's octave."""
-        s = _SYMBOL.take(ids)
-        s[(ids == self.common) & (self.votes > 0)] = 2
-        s[ids == self.id1] = 1
-        s[ids == self.id2] = 0
-        return s
-
-    def span(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mixed cumulative frequency and frequency of a symbol, of 2**16; notes which distribution did better."""
-        at, w = self.cell + s, self.w
-        flat2, flat1 = self.c2.ravel(), self.c1.ravel()
-        low2, low1 = flat2.take(at), flat1.take(at)
-        at += 1
-        f2, f1 = flat2.take(at) - low2, flat1.take(at) - low1
-        self.better = np.where(f2 > f1, 15 << 8, np.where(f2 < f1, 1 << 8, self.weight))
-        v = 16 - w
-        return (w * low2 + v * low1).astype(np.uint64), (w * f2 + v * f1).astype(np.uint64)
-
-    def find(self, at: np.ndarray) -> np.ndarray:
-        """The symbol whose span holds a number below 2**16: how many of the inner bounds are at most that."""
-        w = self.w.astype(np.uint16)[:, None]
-        # The products' sums are below 2**16 for all bounds but the last, which isn't looked at.
-        inner = self.c2.view(np.uint16) * w + self.c1.view(np.uint16) * (np.uint16(16) - w)
-        np.less_equal(inner[:, 1:_N], at.astype(np.uint16)[:, None], out=self.flags[:, 1:_N])
-        return np.bitwise_count(np.packbits(self.flags.ravel()).view(np.uint32)).astype(np.int64)
-
-    def learn(self, s: np.ndarray, ids: np.ndarray) -> None:
-        goal = _TARGET.take(s, axis=0)
-        for c in (self.c2, self.c1):
-            step = goal - c
-            step >>= _RATE
-            c += step
-        np.put(self.by_two, self.r2, self.c2.ravel().view("V64"))
-        np.put(self.by_one, self.r1, self.c1.ravel().view("V64"))
-        self.weight += (self.better - self.weight) >> 5
-        self.two[self.at2] = ids + (np.where(ids == self.id2, np.minimum(self.sure2 + 1, _LEVELS - 1), 1) << 16)
-        self.one[self.at1] = ids + (np.where(ids == self.id1, np.minimum(self.sure1 + 1, _LEVELS - 1), 1) << 16)
-        self.votes += np.where(ids == self.common, 1, -1)
-        lost = self.votes < 0
-        np.copyto(self.common, ids, where=lost)
-        self.votes[lost] = 1
-        self.before, self.last = self.last, ids
-
-
-def _renormalise(low: np.ndarray, span: np.ndarray, shift) -> None:
-    """Move settled leading words out; ``shift(lanes)`` is told of each word. Works in place."""
-    lanes = None
-    while True:
-        l, r = (low, span) if lanes is None else (low[lanes], span[lanes])
-        settled = (l ^ (l + r)) < _TOP
-        need = np.flatnonzero(settled | (r < _BOTTOM))
-        if not len(need):
-            return
-        under = need[~settled[need]]
-        at = need if lanes is None else lanes[need]
-        if len(under):
-            on = under if lanes is None else lanes[under]
-            span[on] = (~low[on] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-        shift(at)
-        low[at] <<= _16
-        span[at] <<= _16
-        lanes = at
-
-
-def encode_blocks(ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """The 16-bit code words of each block; ``ids`` is (blocks, BLOCK), of which row i has ``lengths[i]`` ids.
-
-    Lengths don't grow from row to row.
-    """
-    lanes = len(ids)
-    columns = np.ascontiguousarray(ids.T.astype(np.int64))
-    out, pos = np.zeros((lanes, 2 * BLOCK + 16), np.uint16), np.zeros(lanes, np.int64)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    model = _Model(lanes)
-
-    def put(at: np.ndarray) -> None:
-        out[at, pos[at]] = (low[at] >> _48).astype(np.uint16)
-        pos[at] += 1
-
-    for t in range(int(lengths[0]) if lanes else 0):
-        # Lanes that are over go on with id 0; what they put out is cut off below.
-        if (n := int(np.searchsorted(-lengths, -t))) < lanes:
-            columns[t, n:] = 0
-            ended = np.flatnonzero(lengths == t)
-            if len(ended):
-                _finish(out, pos, low, ended)
-        x = columns[t]
+        """What orders 2 and 1 say: place and confidence in one number, and where that is kept."""
+        self.at1 = self.row0 + self.last
+        self.at2 = (self.last * 2971 + self.before * 40503 >> 2 & _MASK) + self.row2
+        self.two_says, self.one_says = self.two.take(self.at2), self.one.take(self.at1)
+        self.sure2, self.sure1 = self.two_says & 3, self.one_says & 3
+        self.context = self.row_shares + ((self.sure2 << 2 | self.sure1) << 2)
+
+    def learn(self, x: np.ndarray, right2: np.ndarray, right1: np.ndarray, outcome: np.ndarray, place: np.ndarray) -> None:
+        """``right2`` and ``right1`` are 1 where an order has named x."""
+        new = (x << 2).astype(np.uint16)
+        new += 1
+        self.two[self.at2] = new + np.minimum(self.sure2, 2) * right2
+        self.one[self.at1] = new + np.minimum(self.sure1, 2) * right1
+        self.seen.append(outcome)
+        self.places.append(place)
+        self.before, self.last = self.last, x
+
+
+def _encode(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words of each lane): ``places`` is (ids of a block, lanes)."""
+    steps, lanes = places.shape
+    width = steps * 2 * _BITS // 32 + 4
+    out, pos = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
+    start = pos.copy()
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 63, np.uint64)
+    model = _Model(sizes)
+    hit, mask = len(model.parts) - 1, np.uint64(2 * _TOTAL - 1)
+    shift, bits = np.uint64(_BITS + 1), np.uint64(_BITS)
+
+    def carry(at: np.ndarray) -> None:
+        while len(at):
+            at = at - 1
+            out[at] += np.uint32(1)
+            at = at[out[at] == 0]
+
+    for t in range(steps):
+        if t in POINTS:
+            model.settle()
+        x = places[t].astype(np.int64)
         model.predict()
-        s = model.symbol(x)
-        cum, freq = model.span(s)
-        part = span >> _SUM_BITS
-        low += cum * part
-        span = part * freq
-        bits = _BITS.take(s)
-        span >>= bits
-        low += np.where(s >= _HITS, x - _BASE.take(s), 0).astype(np.uint64) * span
-        keep = pos[n:].copy()
-        _renormalise(low, span, put)
-        pos[n:] = keep
-        model.learn(s, x)
-    if lanes:
-        _finish(out, pos, low, np.flatnonzero(lengths == int(lengths[0])))
-    return [out[i, : pos[i]] for i in range(lanes)]
-
-
-def _finish(out: np.ndarray, pos: np.ndarray, low: np.ndarray, lanes: np.ndarray) -> None:
-    """Write what is left of the low ends of the lanes."""
-    for k in range(4):
-        out[lanes, pos[lanes]] = (low[lanes] >> np.uint64(48 - 16 * k)).astype(np.uint16)
-        pos[lanes] += 1
-
-
-def decode_blocks(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
-    """The ids of blocks, as (blocks, BLOCK); lengths don't grow from row to row."""
-    lanes = len(words)
-    width = max(map(len, words), default=0) + 8
-    code = np.zeros((lanes, width), np.uint64)
-    for i, w in enumerate(words):
-        code[i, : len(w)] = w
-    out = np.zeros((BLOCK, lanes), np.int64)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    value, pos = np.zeros(lanes, np.uint64), np.full(lanes, 4)
-    for k in range(4):
-        value = value << _16 | code[:, k]
-    model = _Model(lanes)
-    one, limit = np.uint64(1), np.uint64((1 << (_TOTAL_BITS + _WEIGHT_BITS)) - 1)
-    flat, wide = code.ravel(), np.arange(lanes) * width
-
-    def take(at: np.ndarray) -> None:
-        value[at] = value[at] << _16 | flat.take(wide[at] + np.minimum(pos[at], width - 1))
-        pos[at] += 1
-
-    for t in range(int(lengths[0]) if lanes else 0):
-        if (n := int(np.searchsorted(-lengths, -t))) < len(low):
-            # Lanes that are over are dropped.
-            low, span, value, pos, code = low[:n].copy(), span[:n].copy(), value[:n].copy(), pos[:n].copy(), code[:n]
-            model.cut(n)
+        wide = x << 2
+        right2 = (model.two_says - model.sure2 == wide) & (model.sure2 > 0)
+        right1 = (model.one_says - model.sure1 == wide) & (model.sure1 > 0)
+        missed = ~(right2 | right1)
+        outcome = model.context + np.where(right2, 0, 1 + missed)
+        place = np.where(missed, model.row0 + x, hit)
+        share, own = model.share.take(outcome), model.parts.take(place).astype(np.uint64)
+        part = span >> _STEP
+        parts = share & mask
+        low += (((share >> shift) << bits) + parts * (own >> shift)) * part
+        span = part * (parts * (own & mask))
+        need = np.flatnonzero(span < _LEAST)
+        if len(need):
+            l, at = low.take(need), pos.take(need)
+            word = l >> _31
+            out[at] = word.astype(np.uint32)
+            pos[need] = at + 1
+            over = np.flatnonzero(word > _WORD)
+            if len(over):
+                carry(at[over])
+            low[need] = (l & _LOW_WORD) << _32
+            span[need] <<= _32
+        model.learn(x, right2, right1, outcome, place)
+    word = low >> _31
+    out[pos] = word.astype(np.uint32)
+    carry(pos[word > _WORD])
+    out[pos + 1] = ((low & _LOW_WORD) << np.uint64(1)).astype(np.uint32)
+    lengths = pos + 2 - start
+    keep = np.arange(width) < lengths[:, None]
+    return out.reshape(lanes, width)[keep], lengths
+
+
+def _decode(words: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, steps: int) -> np.ndarray:
+    """The places, (ids of a block, lanes), of what ``_encode`` gave."""
+    lanes = len(lengths)
+    words = np.concatenate([words, np.zeros(2, np.uint32)]).astype(np.uint64)
+    pos = np.cumsum(lengths) - lengths
+    value = words[pos] << _31 | words[pos + 1] >> np.uint64(1)
+    # Words as they lie after the first 63 bits.
+    ahead = (words[:-1] & np.uint64(1)) << _31 | words[1:] >> np.uint64(1)
+    pos += 1
+    span, out = np.full(lanes, 1 << 63, np.uint64), np.zeros((steps, lanes), np.uint16)
+    model = _Model(sizes)
+    slots, row_slots = model.slots(), np.arange(lanes) * _TOTAL
+    hit, mask, most = len(model.parts) - 1, np.uint64(2 * _TOTAL - 1), np.uint64(_TOTAL * _TOTAL - 1)
+    shift, bits = np.uint64(_BITS + 1), np.uint64(_BITS)
+    for t in range(steps):
+        if t in POINTS:
+            model.settle()
+            slots = model.slots()
         model.predict()
-        part = span >> _SUM_BITS
-        s = model.find(np.minimum((value - low) // part, limit))
-        cum, freq = model.span(s)
-        low += cum * part
-        span = part * freq
-        bits = _BITS.take(s)
-        span >>= bits
-        rest = np.minimum((value - low) // span, (one << bits) - one)
-        low += rest * span
-        x = _BASE.take(s) + rest.astype(np.int64)
-        for hit, ids in enumerate((model.id2, model.id1, model.common)):
-            np.copyto(x, ids, where=s == hit)
-        out[t, : len(x)] = x
-        _renormalise(low, span, take)
-        model.learn(s, x)
-    return out.T
-
-
-def pack(ids: np.ndarray, block: int = BLOCK) -> Iterator[bytes]:
-    """The blocks, with their headers, of a run of 16-bit ids."""
-    for lo in range(0, len(ids), block * LANES):
-        part = ids[lo : lo + block * LANES]
-        lanes = -(-len(part) // block)
-        lengths = np.minimum(block, len(part) - block * np.arange(lanes))
-        table = np.zeros(lanes * block, np.uint16)
-        table[: len(part)] = part
-        for i, words in enumerate(encode_blocks(table.reshape(lanes, block), lengths)):
-            crc = zlib.crc32(part[i * block : i * block + lengths[i]].astype("<u4").tobytes())
-            yield struct.pack("<III", lengths[i], len(words), crc) + words.astype("<u2").tobytes()
-
-
-def unpack(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """The ids of (ids, CRC-32, code) blocks, each compared with its checksum."""
-    out = []
-    for lo in range(0, len(blocks), LANES):
-        part = blocks[lo : lo + LANES]
-        order = sorted(range(len(part)), key=lambda i: -part[i][0])
-        lengths = np.array([part[i][0] for i in order])
-        table = decode_blocks([np.frombuffer(part[i][2], "<u2") for i in order], lengths)
-        by_place = dict(zip(order, range(len(part))))
-        for i, (n, crc, _) in enumerate(part):
-            ids = table[by_place[i], :n].astype("<u4")
-            if zlib.crc32(ids.tobytes()) != crc:
-                raise ValueError("a block's ids don't have its checksum")
-            out.append(ids)
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        part = span >> _STEP
+        v = np.minimum(value // part, most)
+        flag, context = (v >> bits).astype(np.int32), model.context >> 2
+        missed = flag >= model.bounds[1].take(context)
+        outcome = model.context + ((flag >= model.bounds[0].take(context)).astype(np.int64) + missed)
+        share = model.share.take(outcome)
+        parts, first = share & mask, share >> shift << bits
+        # Both are small integers: the quotient's whole part is exact.
+        inner = ((v - first).astype(np.float64) / parts.astype(np.float64)).astype(np.int64)
+        x = slots.take(row_slots + inner).astype(np.int64)
+        two, one = model.two_says >> 2, model.one_says >> 2
+        named = np.where(outcome == model.context, two, one)
+        x = np.where(missed, x, named)
+        place = np.where(missed, model.row0 + x, hit)
+        own = model.parts.take(place).astype(np.uint64)
+        value -= (first + parts * (own >> shift)) * part
+        span = part * (parts * (own & mask))
+        need = np.flatnonzero(span < _LEAST)
+        if len(need):
+            at = pos.take(need)
+            value[need] = value.take(need) << _32 | ahead.take(at)
+            pos[need] = at + 1
+            span[need] <<= _32
+        out[t] = x
+        model.learn(x, (two == x) & (model.sure2 > 0), (one == x) & (model.sure1 > 0), outcome, place)
+    return out
+
+
+def _rice(gaps: np.ndarray) -> bytes:
+    """Non-negative numbers in Rice code, with what tells how to read them."""
+    k = max(0, int(np.log2(gaps.mean() + 1e-9))) if len(gaps) and gaps.mean() > 1 else 0
+    ends = np.cumsum((gaps >> k) + 1) - 1
+    unary = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, np.uint8)
+    unary[ends] = 1
+    head = np.packbits(unary).tobytes()
+    low = (gaps[:, None] >> np.arange(k) & 1).astype(np.uint8)
+    return struct.pack("<II", k, len(head)) + head + np.packbits(low.ravel()).tobytes()
+
+
+def _unrice(data: bytes, n: int) -> np.ndarray:
+    k, size = struct.unpack_from("<II", data)
+    if k > 32 or 8 + size + -(-n * k // 8) != len(data):
+        raise ValueError("a list of ids is damaged")
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, size, 8)))[:n]
+    low = np.unpackbits(np.frombuffer(data, np.uint8, -1, 8 + size), count=n * k).reshape(n, k).astype(np.int64)
+    if len(ends) != n:
+        raise ValueError("a list of ids is damaged")
+    return (np.diff(ends, prepend=-1) - 1 << k) + (low << np.arange(k)).sum(axis=1)
+
+
+def _letters(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids ascending, the ids' places among them)."""
+    most = int(ids.max())
+    if most >= 1 << 24:
+        letters, places = np.unique(ids, return_inverse=True)
+        return letters, places
+    there = np.zeros(most + 1, bool)
+    there[ids] = True
+    letters = np.flatnonzero(there)
+    place = np.zeros(most + 1, np.int64)
+    place[letters] = np.arange(len(letters))
+    return letters, place[ids]
+
+
+def pack_group(ids: np.ndarray) -> bytes:
+    """At most ``BLOCK * LANES`` ids below 2**32, at least one, as one group."""
+    n = len(ids)
+    steps = min(BLOCK, n)
+    lanes = -(-n // steps)
+    letters, at = _letters(ids)
+    k = len(letters)
+    # What the last block lacks is filled up with an id it has.
+    at = np.concatenate([at, np.full(lanes * steps - n, at[-1])]).reshape(lanes, steps)
+    places, gaps, sizes = np.zeros((steps, lanes), np.uint16), [], np.zeros(lanes, np.int64)
+    chunk = max(1, (1 << 24) // k)
+    for lo in range(0, lanes, chunk):
+        part = at[lo : lo + chunk]
+        cell = part + (np.arange(len(part)) * k)[:, None]
+        there = np.zeros(len(part) * k, bool)
+        there[cell] = True
+        found = np.flatnonzero(there)
+        size = np.bincount(found // k, minlength=len(part))
+        begin = np.cumsum(size) - size
+        place = np.zeros(len(part) * k, np.uint16)
+        place[found] = np.arange(len(found)) - np.repeat(begin, size)
+        places[:, lo : lo + len(part)] = place[cell].T
+        gap = np.diff(found, prepend=-1) - 1
+        gap[begin] = found[begin] % k
+        gaps.append(gap)
+        sizes[lo : lo + len(part)] = size
+    words, lengths = _encode(places, sizes)
+    lists = _rice(np.concatenate(gaps))
+    blocks = np.zeros(lanes, [("crc", "<u4"), ("places", "<u2"), ("words", "<u2")])
+    data = ids.astype("<u4")
+    blocks["crc"] = [zlib.crc32(data[i : i + steps]) for i in range(0, n, steps)]
+    blocks["places"], blocks["words"] = sizes, lengths
+    alphabet = _rice(np.diff(letters.astype(np.int64), prepend=-1) - 1)
+    return b"".join([_HEAD.pack(n, lanes, steps, k, len(alphabet), len(lists), len(words)), alphabet, lists, blocks.tobytes(), words.astype("<u4").tobytes()])
+
+
+def group_size(head: bytes) -> int:
+    """The bytes of a group that follow its head."""
+    _, lanes, _, _, alphabet, lists, words = _HEAD.unpack(head)
+    return alphabet + lists + 8 * lanes + 4 * words
+
+
+def unpack_group(head: bytes, body: bytes) -> np.ndarray:
+    """The ids of a group; every block is compared with its checksum."""
+    n, lanes, steps, k, alphabet, lists, count = _HEAD.unpack(head)
+    if len(body) != group_size(head):
+        raise ValueError("a group isn't as long as it says")
+    letters = np.cumsum(_unrice(body[:alphabet], k) + 1) - 1
+    at = alphabet + lists
+    blocks = np.frombuffer(body, [("crc", "<u4"), ("places", "<u2"), ("words", "<u2")], lanes, at)
+    sizes, lengths = blocks["places"].astype(np.int64), blocks["words"].astype(np.int64)
+    gaps = _unrice(body[alphabet:at], int(sizes.sum()))
+    words = np.frombuffer(body, "<u4", count, at + 8 * lanes)
+    if lengths.sum() != count or not sizes.all() or not lengths.all() or (sizes > _TOTAL).any():
+        raise ValueError("a group's blocks don't fit it")
+    begin = np.cumsum(sizes) - sizes
+    upto = np.cumsum(gaps + 1)
+    found = upto - 1 - np.repeat(upto[begin] - gaps[begin] - 1, sizes)
+    if (found >= k).any():
+        raise ValueError("a list of ids is damaged")
+    places = _decode(words, lengths, sizes, steps)
+    ids = letters.astype(np.uint32)[found].take(begin[:, None] + np.minimum(places.T, sizes[:, None] - 1)).ravel()[:n]
+    for i, crc in zip(range(0, n, steps), blocks["crc"].tolist()):
+        if zlib.crc32(ids[i : i + steps]) != crc:
+            raise ValueError("a block's ids don't have its checksum")
+    return ids
+
+
+def pack(ids: np.ndarray) -> Iterator[bytes]:
+    """The groups of a run of ids below 2**32."""
+    for lo in range(0, len(ids), BLOCK * LANES):
+        yield pack_group(ids[lo : lo + BLOCK * LANES])
+
+
+def unpack(stream, end: int) -> Iterator[np.ndarray]:
+    """The ids of one group after another, from where a seekable stream is up to the byte ``end``."""
+    while stream.tell() < end:
+        head = stream.read(_HEAD.size)
+        if len(head) < _HEAD.size:
+            raise ValueError("a group was cut off")
+        yield unpack_group(head, stream.read(group_size(head)))
