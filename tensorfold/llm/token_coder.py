@@ -322,7 +322,10 @@ def unpack_group(head: bytes, body: bytes) -> np.ndarray:
     found = upto - 1 - np.repeat(upto[begin] - gaps[begin] - 1, sizes)
     if (found >= k).any():
         raise ValueError("a list of ids is damaged")
-    places = _decode(words, lengths, sizes, steps)
+    try:
+        places = _decode(words, lengths, sizes, steps)
+    except IndexError as e:
+        raise ValueError("a group's code leads nowhere") from e
     ids = letters.astype(np.uint32)[found].take(begin[:, None] + np.minimum(places.T, sizes[:, None] - 1)).ravel()[:n]
     for i, crc in zip(range(0, n, steps), blocks["crc"].tolist()):
         if zlib.crc32(ids[i : i + steps]) != crc:
