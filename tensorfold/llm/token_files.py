@@ -35,7 +35,7 @@ from .token_coder import BLOCK, LANES, pack, unpack
 #: Bytes of input that one file is to take, by Spark's estimate.
 FILE_BYTES = 128 << 20
 MAGIC, TAIL = b"TFID\x02\0\0\0", b"TFIX"
-_TAIL = struct.Struct("<QQQ4s")
+_TAIL = "<QQQ4s"
 _INDEX = np.dtype([("id", "<i8"), ("none", "u1"), ("start", "<i8"), ("n", "<i8")])
 
 
@@ -290,7 +290,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
             table = np.concatenate(index)
             table["start"] = np.cumsum(table["n"]) - table["n"]
             total = int(table["n"].sum())
-            tail = table.tobytes() + _TAIL.pack(len(table), total, size, TAIL)
+            tail = table.tobytes() + struct.pack(_TAIL, len(table), total, size, TAIL)
             out.write(tail)
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [file], "documents": pa.array([len(table)], pa.int64()), "ids": pa.array([total], pa.int64()), "bytes": pa.array([size + len(tail)], pa.int64())})
@@ -304,12 +304,12 @@ def read_file(stream) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """(rows of the index, their documents' ids) of one file, a group of blocks at a time; every block is compared
     with its checksum. ``stream`` is seekable."""
     size = stream.seek(0, 2)
-    if size < len(MAGIC) + _TAIL.size:
+    if size < len(MAGIC) + struct.calcsize(_TAIL):
         raise ValueError("not a token file, or one that was cut off")
-    stream.seek(size - _TAIL.size)
-    documents, total, at, tail = _TAIL.unpack(stream.read(_TAIL.size))
+    stream.seek(size - struct.calcsize(_TAIL))
+    documents, total, at, tail = struct.unpack(_TAIL, stream.read(struct.calcsize(_TAIL)))
     stream.seek(0)
-    if tail != TAIL or stream.read(len(MAGIC)) != MAGIC or at + documents * _INDEX.itemsize + _TAIL.size != size:
+    if tail != TAIL or stream.read(len(MAGIC)) != MAGIC or at + documents * _INDEX.itemsize + struct.calcsize(_TAIL) != size:
         raise ValueError("not a token file, or one that was cut off")
     stream.seek(at)
     index = np.frombuffer(stream.read(documents * _INDEX.itemsize), _INDEX)
