@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 #: Blocks coded in lockstep at once.
-LANES = 2048
+LANES = 4096
 #: After how many ids counts and shares are taken anew.
-POINTS = (64, 128, 256, 512, 1024, 2048)
+POINTS = (64, 128, 256, 512, 1024)
 #: Order 0 and the shares each are of 2**12; a place needs 2 more bits for its confidence.
 _BITS, _SURE = 12, 3
 _TOTAL = 1 << _BITS
@@ -69,7 +69,7 @@ class _Model:
         self.sizes, self.width = sizes, int(sizes.max())
         lane = np.arange(lanes)
         self.row0, self.row2, self.row_shares = lane * self.width, lane * _SLOTS, lane * (4 * _CONTEXTS)
-        self.one, self.two = np.zeros(lanes * self.width, np.uint16), np.zeros(lanes * _SLOTS, np.uint16)
+        self.one, self.two = np.zeros(lanes * self.width, np.int16), np.zeros(lanes * _SLOTS, np.int16)
         self.last = self.before = np.zeros(lanes, np.int64)
         self.counts = np.where(np.arange(self.width) < sizes[:, None], 1.0, 0.0)
         self.outcomes = np.tile(_SHARES, (lanes, 1, 1))
@@ -107,17 +107,18 @@ class _Model:
         return np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), len(self.sizes)), self.freq.ravel())
 
     def predict(self) -> None:
-        """What orders 2 and 1 say: place and confidence in one number, and where that is kept."""
+        """What orders 2 and 1 name and how sure they are, and where that is kept (place plus one, and two bits)."""
         self.at1 = self.row0 + self.last
         self.at2 = (self.last * 2971 + self.before * 40503 >> 2 & _MASK) + self.row2
-        self.two_says, self.one_says = self.two.take(self.at2), self.one.take(self.at1)
-        self.sure2, self.sure1 = self.two_says & 3, self.one_says & 3
+        two, one = self.two.take(self.at2), self.one.take(self.at1)
+        # An order that has nothing to say names -1.
+        self.two_names, self.one_names = (two >> 2) - 1, (one >> 2) - 1
+        self.sure2, self.sure1 = two & 3, one & 3
         self.context = self.row_shares + ((self.sure2 << 2 | self.sure1) << 2)
 
     def learn(self, x: np.ndarray, right2: np.ndarray, right1: np.ndarray, outcome: np.ndarray, place: np.ndarray) -> None:
         """``right2`` and ``right1`` are 1 where an order has named x."""
-        new = (x << 2).astype(np.uint16)
-        new += 1
+        new = ((x << 2) + 5).astype(np.int16)
         self.two[self.at2] = new + np.minimum(self.sure2, 2) * right2
         self.one[self.at1] = new + np.minimum(self.sure1, 2) * right1
         self.seen.append(outcome)
@@ -147,9 +148,7 @@ def _encode(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
             model.settle()
         x = places[t].astype(np.int64)
         model.predict()
-        wide = x << 2
-        right2 = (model.two_says - model.sure2 == wide) & (model.sure2 > 0)
-        right1 = (model.one_says - model.sure1 == wide) & (model.sure1 > 0)
+        right2, right1 = model.two_names == x, model.one_names == x
         missed = ~(right2 | right1)
         outcome = model.context + np.where(right2, 0, 1 + missed)
         place = np.where(missed, model.row0 + x, hit)
@@ -208,9 +207,7 @@ def _decode(words: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, steps: in
         # Both are small integers: the quotient's whole part is exact.
         inner = ((v - first).astype(np.float64) / parts.astype(np.float64)).astype(np.int64)
         x = slots.take(row_slots + inner).astype(np.int64)
-        two, one = model.two_says >> 2, model.one_says >> 2
-        named = np.where(outcome == model.context, two, one)
-        x = np.where(missed, x, named)
+        x = np.where(missed, x, np.where(outcome == model.context, model.two_names, model.one_names))
         place = np.where(missed, model.row0 + x, hit)
         own = model.parts.take(place).astype(np.uint64)
         value -= (first + parts * (own >> shift)) * part
@@ -222,7 +219,7 @@ def _decode(words: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, steps: in
             pos[need] = at + 1
             span[need] <<= _32
         out[t] = x
-        model.learn(x, (two == x) & (model.sure2 > 0), (one == x) & (model.sure1 > 0), outcome, place)
+        model.learn(x, model.two_names == x, model.one_names == x, outcome, place)
     return out
 
 
@@ -257,7 +254,7 @@ def _letters(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     there = np.zeros(most + 1, bool)
     there[ids] = True
     letters = np.flatnonzero(there)
-    place = np.zeros(most + 1, np.int64)
+    place = np.zeros(most + 1, np.int32)
     place[letters] = np.arange(len(letters))
     return letters, place[ids]
 

@@ -48,7 +48,7 @@ _BLANKS = " \t\n\v\f\r\x85\xa0"
 #: By character of Latin-1, where composition changes nothing and case goes letter by letter: what the pattern takes it for.
 _KIND = np.array([_SPACE if c in _BLANKS else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(c)[0], _OTHER) for c in map(chr, range(256))], np.uint8)
 #: Characters of texts that are taken apart at once.
-_AT_ONCE = 8 << 20
+_AT_ONCE = 6 << 20
 
 
 class WordTokenizer:
