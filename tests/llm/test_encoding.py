@@ -82,7 +82,7 @@ def test_coder_round_trip(n, kind):
     packed = list(token_coder.pack(ids))
     assert (unpacked(packed) == ids).all()
     if n > 30000:
-        assert sum(map(len, packed)) * 8 / n < {"uniform": 18.5, "skewed": 8.5, "constant": 0.2, "wide": 2.8, "turns": 0.3}[kind]
+        assert sum(map(len, packed)) * 8 / n < {"uniform": 20, "skewed": 8.5, "constant": 0.2, "wide": 2.8, "turns": 0.3}[kind]
         block = [zlib.compress(ids[i : i + token_coder.BLOCK].tobytes(), 9) for i in range(0, n, token_coder.BLOCK)]
         assert kind == "uniform" or sum(map(len, packed)) < 1.05 * sum(map(len, block)) + 200
 
