@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +71,14 @@ def write_atomically(uri: str, chunks) -> int:
             size += len(chunk)
     fs.move(temporary, path)
     return size
+
+
+def fresh(taken: Sequence[str], *names: str) -> list[str]:
+    """The names, with underscores before them where needed so that none is among ``taken``, in any case of letters."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out

@@ -46,18 +46,23 @@ def source_targets(sized: DataFrame, weights: Sequence[int], most: int) -> DataF
     return by.select("source", "source_size", target.alias("target"))
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str, source: str, salt: str) -> DataFrame:
-    """``docs`` with _id, _source ('' for null), _none (is it null), _size, _key and _range."""
-    key = F.md5(F.concat(F.coalesce(docs[doc_id].cast("string"), F.lit("")), F.lit(f":{salt}")))
-    return docs.select(
-        *[docs[c] for c in docs.columns],
-        docs[doc_id].alias("_id"),
-        F.coalesce(docs[source].cast("string"), F.lit("")).alias("_source"),
-        docs[source].isNull().alias("_none"),
-        F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("bigint").alias("_size"),
+def _keyed(docs: DataFrame, doc_id: str, text: str, source: str, salt: str) -> tuple[DataFrame, list[str]]:
+    """(``docs`` with its columns by place as c0, c1, ..., which no name of ours can clash with, and _id, _source ('' for
+    null), _none (is it null), _size, _key and _range; the places' names of id, text and source)."""
+    at = {name: f"c{docs.columns.index(name)}" for name in (doc_id, text, source)}
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own_id, own_text, own_source = (F.col(at[name]) for name in (doc_id, text, source))
+    key = F.md5(F.concat(F.coalesce(own_id.cast("string"), F.lit("")), F.lit(f":{salt}")))
+    rows = rows.select(
+        "*",
+        own_id.alias("_id"),
+        F.coalesce(own_source.cast("string"), F.lit("")).alias("_source"),
+        own_source.isNull().alias("_none"),
+        F.coalesce(F.regexp_count(own_text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("_size"),
         key.alias("_key"),
         F.substring(key, 1, RANGE_DIGITS).alias("_range"),
     )
+    return rows, [at[doc_id], at[text], at[source]]
 
 
 def _placed(rows: DataFrame, slim: DataFrame, weights: Sequence[int], most: int, ties: Sequence[str] = ()) -> DataFrame:
@@ -82,28 +87,30 @@ def _placed(rows: DataFrame, slim: DataFrame, weights: Sequence[int], most: int,
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", salt: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row of ``docs``; texts are read once."""
-    slim = staged(_keyed(docs.select(docs[doc_id], docs[text], docs[source]), doc_id, text, source, salt).select("_id", "_source", "_none", "_size", "_key", "_range"), "sized")
+    keyed, _ = _keyed(docs.select(docs[doc_id], docs[text], docs[source]), doc_id, text, source, salt)
+    slim = staged(keyed.select("_id", "_source", "_none", "_size", "_key", "_range"), "sized")
     out = _placed(slim, slim, weights, most)
     return out.select(F.col("_id").alias("doc_id"), F.when(~F.col("_none"), F.col("_source")).alias("source"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", salt: str = "mix") -> DataFrame:
     """The mixed corpus, in the columns of ``docs``: each document once for each time it is taken, and on the cut
-    of its source its first words up to the budget. ``n_chars``, if there, follows the text.
+    of its source its first words up to the budget. ``n_chars``, if there, follows the text; other columns keep their
+    values, whatever their names.
 
     Documents that take nothing, among them those without words, aren't in it.
     """
-    keyed = _keyed(docs, doc_id, text, source, salt)
+    keyed, (_, words, _) = _keyed(docs, doc_id, text, source, salt)
     slim = staged(keyed.select("_id", "_source", "_none", "_size", "_key", "_range"), "sized")
-    rows = _placed(keyed.withColumn("_tie", F.xxhash64(docs[text])), slim, weights, most, ["_tie"]).where("_taken > 0")
+    rows = _placed(keyed.withColumn("_tie", F.xxhash64(words)), slim, weights, most, ["_tie"]).where("_taken > 0")
     whole, part = F.floor(F.col("_taken") / F.col("_size")), F.col("_taken") % F.col("_size")
     rows = rows.withColumn("_part", part).withColumn("_copy", F.explode(F.sequence(F.lit(1), (whole + (part > 0).cast("int")).cast("int")))).withColumn("_cut", (F.col("_copy") > whole) & (part > 0))
-    first = F.concat_ws("", F.slice(F.regexp_extract_all(F.col(text), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), F.lit(1), F.col("_part").cast("int")))
-    rows = rows.withColumn(text, F.when(F.col("_cut"), first).otherwise(F.col(text)))
+    first = F.concat_ws("", F.slice(F.regexp_extract_all(F.col(words), F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), F.lit(1), F.col("_part").cast("int")))
+    rows = rows.withColumn(words, F.when(F.col("_cut"), first).otherwise(F.col(words)))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length(text).cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
+        kind, chars = docs.schema["n_chars"].dataType, f"c{docs.columns.index('n_chars')}"
+        rows = rows.withColumn(chars, F.when(F.col("_cut"), F.length(words).cast(kind)).otherwise(F.col(chars)))
+    return rows.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -160,16 +160,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_per_class: int = 1000, doc_
 SCORED = "score double, offending array<struct<begin:int,end:int,probability:double>>"
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``score`` and the ``offending`` sentences (begin, end, probability).
+def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text", names: tuple[str, str] = ("score", "offending")) -> DataFrame:
+    """All columns of ``docs`` and two more: the score and the offending sentences (begin, end, probability).
 
-    Columns of the input with those names are replaced. The model is bounded by its training sample.
+    ``names`` are the names of these two; columns of the input with those names are replaced, others keep their
+    values. One row in, one row out, repeated rows included. The model is bounded by its training sample.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
-    kept = docs.drop("score", "offending")
+    kept = docs.drop(*names)
     at, n = kept.columns.index(text), len(kept.columns)
     spec = spark.createDataFrame([], SCORED).schema
     kind = to_arrow_type(spec["offending"].dataType)
@@ -187,7 +188,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text") -
     from pyspark.sql.types import StructField, StructType
 
     out = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate([*kept.schema, *spec])])
-    return kept.toDF(*[f"c{i}" for i in range(n)]).mapInArrow(run, out).toDF(*kept.columns, "score", "offending")
+    return kept.toDF(*[f"c{i}" for i in range(n)]).mapInArrow(run, out).toDF(*kept.columns, *names)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
