@@ -9,19 +9,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorfold.llm import mixing, near_copies, sentencepiece_codec, toxicity
-from tensorfold.llm.common import staged
+from tensorfold.llm import mixing, sentencepiece_codec, similar_texts, toxicity
+from tensorfold.llm.common import fresh, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half; rows without a text count as empty and stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_documents(docs, model).where("score < 0.5").select(docs.columns)
+    names = tuple(fresh(docs.columns, "score", "offending"))
+    scored = toxicity.score_documents(docs, model, names=names)
+    return scored.where(scored[names[0]] < 0.5).drop(*names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8), that with the least id."""
-    return near_copies.near_dedup(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8), that with the least id.
+
+    Candidates meet at SimHash's anchors; the shingles themselves decide.
+    """
+    return similar_texts.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
