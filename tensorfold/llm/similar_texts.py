@@ -8,13 +8,14 @@ find ``RECALL`` of pairs at exactly 0.8; the finer the anchors (one more bit wit
 two million texts), the more tables that takes. More similar pairs are found more surely, and a group of
 copies is missed only if all links that hold it together are.
 
-Pairs that meet are compared by the fingerprint, then by 128 further bits, then exactly by their shingles, hashed to
-64 bits; no pair below 0.8 is linked. Anchors also go by size, as sets of a similarity of 0.8
+Pairs that meet are compared by 95 bits, then by 192, then exactly by their shingles, hashed to 64 bits; no pair below
+0.8 is linked. Anchors also go by size, as sets of a similarity of 0.8
 have sizes within 5 to 4.
 
-Texts with equal sets are one node of the search, all without words among them. At an anchor with more than ``HOT``
-homes, such as that of a large group of near copies, every guest is first compared with one home; what this links is
-one component, whose members aren't compared among themselves any more.
+Texts with equal sets are one node of the search, all without words among them. Anchors with far more homes than
+others belong to large groups of near copies. One home of each is a lead; every text is first compared with two of the
+leads it meets, the nearest and the first by hash. What this links is one component; at a hot anchor the homes of its
+main component aren't compared with that component's guests any more.
 
 Nulls count as empty texts. A row is known by its id and the hash of its text; of a group of near copies the row of
 the least id stays, rows without an id come last. Rows that share an id but aren't near copies are judged apart.
@@ -26,7 +27,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, staged
@@ -34,12 +35,14 @@ from .components import connected_components
 from .simhash import GOLAY_BITS, AnchorCode
 
 SHINGLE, SIMILARITY = 5, 0.8
-RECALL = 0.98
+RECALL = 0.95
 #: Share of bits in which the fingerprints of sets of a similarity of 0.8 differ: acos(8 / 9) / pi.
 FLIPS = 0.1515
-#: Bits that may differ: of the fingerprint's 64, and of all 192. Pairs at 0.8 exceed them about once in 3000.
-NEAR, NEAR_ALL = 20, 47
-HOT = 256
+#: Bits that may differ: of the 95 that are sent, and of all 192. Pairs at 0.8 exceed them about once in 20000.
+NEAR, NEAR_ALL = 28, 48
+#: Homes that make an anchor hot, besides 16 times the mean; and how many hot anchors, the fullest, are told to all
+#: tasks (40 bytes each). What is linked doesn't depend on either.
+HOT, MOST_HOT = 256, 100_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _CHUNK = 1 << 14
 
@@ -172,18 +175,65 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, s array<bigint>")
 
 
+_ROW = "bucket bigint, node bigint, f bigint, g int"
+
+
+def _further(g0: Column) -> Column:
+    """The 31 further bits that are sent with a fingerprint."""
+    return g0.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
+def _numbers(batch, lo: int, size: int = 4096) -> list[np.ndarray]:
+    return [np.asarray(c.slice(lo, size).to_numpy(zero_copy_only=False)) for c in batch.columns]
+
+
 def _spread(nodes: DataFrame, tables: Tables, guests: bool) -> DataFrame:
-    """(bucket, node, f) of every node's homes or visits."""
+    """(bucket, node, f, g) of every node's homes or visits."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                node, n, f = (np.asarray(batch.column(k).slice(lo, 4096).to_numpy(zero_copy_only=False), np.int64) for k in range(3))
+                node, n, f, g = _numbers(batch, lo)
                 for bucket, of in (tables.guests if guests else tables.homes)(f, n):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[of]), pa.array(f[of])], names=["bucket", "node", "f"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[of]), pa.array(f[of]), pa.array(g[of])], names=["bucket", "node", "f", "g"])
+
+    return nodes.where("n > 0").select("node", "n", "f", _further(F.col("g0")).alias("g")).mapInArrow(run, _ROW)
 
-    return nodes.where("n > 0").select("node", "n", "f").mapInArrow(run, "bucket bigint, node bigint, f bigint")
+
+def _leads_met(nodes: DataFrame, tables: Tables, leads: np.ndarray) -> DataFrame:
+    """(a, b): every node with two of the leads (bucket, node, f, g) near it, the nearest and the first by hash."""
+    import pyarrow as pa
+
+    leads = leads[np.argsort(leads[:, 0], kind="stable")]
+    shared = nodes.sparkSession.sparkContext.broadcast(leads)
+
+    def run(batches):
+        leads = shared.value
+        rank = (leads[:, 1].view(np.uint64) * _MIX[0] >> np.uint64(1)).view(np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                node, n, f, g = _numbers(batch, lo)
+                who, lead = [], []
+                for bucket, of in tables.guests(f, n):
+                    at = np.minimum(np.searchsorted(leads[:, 0], bucket), len(leads) - 1)
+                    hit = np.flatnonzero((leads[at, 0] == bucket) & (leads[at, 1] != node[of]))
+                    who.append(of[hit])
+                    lead.append(at[hit])
+                who, lead = np.concatenate(who), np.concatenate(lead)
+                far = np.bitwise_count((f[who] ^ leads[lead, 2]).view(np.uint64)).astype(np.int64) + np.bitwise_count((g[who] ^ leads[lead, 3].astype(np.int32)).view(np.uint32))
+                near = far <= NEAR
+                who, lead, far = who[near], lead[near], far[near]
+                out = []
+                for key in (far, rank[lead]):
+                    order = np.lexsort((leads[lead, 1], key, who))
+                    first = order[np.append(True, who[order][1:] != who[order][:-1])[: len(order)]]
+                    out.append(first)
+                pick = np.unique(np.concatenate(out))
+                a, b = node[who[pick]], leads[lead[pick], 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return nodes.where("n > 0").select("node", "n", "f", _further(F.col("g0")).alias("g")).mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_links(each: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tables: int | None = None) -> DataFrame:
@@ -194,7 +244,6 @@ def similar_links(each: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sim
     nodes = staged(each.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "f", "g0", "g1")], F.min(F.struct("id", "h")).alias("row")), "nodes")
     extra = extra_bits(nodes.count())
     own = Tables(extra, tables or tables_for(extra))
-    homes, guests = staged(_spread(nodes, own, False), "homes"), _spread(nodes, own, True)
     ratio = Fraction(similarity).limit_denominator(1000)
     p, q = ratio.numerator, ratio.denominator
 
@@ -212,30 +261,36 @@ def similar_links(each: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sim
         # |x & y| / |x | y| >= p / q in integers.
         return staged(both.where((p + q) * F.size(F.array_intersect("x", "y")) >= p * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "similar")
 
-    near = F.bit_count(F.col("f").bitwiseXOR(F.col("f_b"))) <= NEAR
-    ordered = F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")
-    other = guests.select(F.col("bucket").alias("at"), F.col("node").alias("b"), F.col("f").alias("f_b"))
-    hot = staged(homes.groupBy("bucket").agg(F.count("*").alias("k"), F.min_by(F.struct("node", "f"), F.xxhash64("node", "bucket")).alias("lead")).where(f"k > {HOT}"), "hot")
-    if hot.isEmpty():
-        return similar(homes.join(other, (F.col("bucket") == F.col("at")) & (F.col("node") != F.col("b")) & near).select(*ordered))
-    at = hot.select(F.col("bucket").alias("hot_at"))
-    hot_homes = staged(homes.join(at, F.col("bucket") == F.col("hot_at"), "left_semi"), "hot_homes")
-    hot_guests = staged(other.join(at, F.col("at") == F.col("hot_at"), "left_semi"), "hot_guests")
-    leads = hot.select("bucket", "lead.*")
-    first = similar(leads.join(hot_guests, (F.col("bucket") == F.col("at")) & (F.col("node") != F.col("b")) & near).select(*ordered))
-    found = staged(connected_components(first).withColumnRenamed("node", "m"), "first_components")
-    hot_homes = staged(hot_homes.join(found, F.col("node") == F.col("m"), "left").select("bucket", "node", "f", F.coalesce("component", "node").alias("c")), "hot_homes")
-    main = hot_homes.groupBy("bucket", "c").count().groupBy("bucket").agg(F.max_by("c", "count").alias("main")).withColumnRenamed("bucket", "main_at")
-    main = staged(main, "main")
-    # Homes of an anchor's main component meet only guests of others; the other homes meet all guests.
-    hot_homes = hot_homes.join(main, F.col("bucket") == F.col("main_at")).select("bucket", "node", "f", "c", (F.col("c") == F.col("main")).alias("part"))
-    hot_guests = hot_guests.join(found, F.col("b") == F.col("m"), "left").select("at", "b", "f_b", F.coalesce("component", "b").alias("c_b"))
-    hot_guests = hot_guests.join(main, F.col("at") == F.col("main_at"))
-    hot_guests = hot_guests.select("at", "b", "f_b", "c_b", F.explode(F.when(F.col("c_b") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("part_b"))
-    met = hot_homes.join(hot_guests, (F.col("bucket") == F.col("at")) & (F.col("part") == F.col("part_b")) & (F.col("c") != F.col("c_b")) & near)
-    cold = homes.join(at, F.col("bucket") == F.col("hot_at"), "left_anti")
-    rest = cold.join(other, (F.col("bucket") == F.col("at")) & (F.col("node") != F.col("b")) & near)
-    return first.unionByName(similar(met.select(*ordered).unionByName(rest.select(*ordered))))
+    homes, guests = _spread(nodes, own, False), _spread(nodes, own, True)
+    counts = staged(homes.groupBy("bucket").agg(F.count("*").alias("k"), F.min_by(F.struct("node", "f", "g"), F.xxhash64("node", "bucket")).alias("lead")), "anchors")
+    mean = counts.agg(F.avg("k")).first()[0] or 0
+    # At most MOST_HOT rows, whatever the input.
+    leads = counts.where(F.col("k") > HOT + 16 * mean).orderBy(F.desc("k"), "bucket").limit(MOST_HOT).select("bucket", "lead.*").collect()
+    near = F.bit_count(F.col("f").bitwiseXOR(F.col("f_b"))) + F.bit_count(F.col("g").bitwiseXOR(F.col("g_b"))) <= NEAR
+    other = guests.select(F.col("bucket").alias("at"), F.col("node").alias("b"), F.col("f").alias("f_b"), F.col("g").alias("g_b"))
+    meet = (F.col("bucket") == F.col("at")) & (F.col("node") != F.col("b")) & near
+    pair = F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")
+    if not leads:
+        return similar(homes.join(other, meet).select(*pair))
+    first = similar(_leads_met(nodes, own, np.array([tuple(r) for r in leads], np.int64)))
+    component = staged(connected_components(first).select(F.col("node").alias("m"), F.col("component").alias("c")), "first_components")
+    spark = nodes.sparkSession
+    hot = F.broadcast(spark.createDataFrame([(r.bucket,) for r in leads], "hot bigint"))
+    main = homes.join(hot, F.col("bucket") == F.col("hot")).join(component, F.col("node") == F.col("m")).groupBy("bucket", "c").count()
+    main = staged(main.groupBy("bucket").agg(F.max_by("c", "count").alias("main")).withColumnRenamed("bucket", "hot"), "main")
+    labelled = staged(nodes.join(component, F.col("node") == F.col("m"), "left").select("node", "n", "f", "g0", F.coalesce("c", "node").alias("c")), "labelled")
+    # Members of first components are told from others by a table of them; homes of a hot anchor's main component meet
+    # only guests of others (part 1), its other homes meet all guests (part 0).
+    of = F.broadcast(main)
+    named = labelled.select(F.col("node").alias("l_node"), F.col("c")).join(main.select(F.col("main").alias("c")).distinct(), "c", "left_semi")
+    big = staged(named, "big")
+    homes = homes.join(of, F.col("bucket") == F.col("hot"), "left").join(big, (F.col("node") == F.col("l_node")) & (F.col("main") == F.col("c")), "left")
+    homes = homes.select("bucket", "node", "f", "g", F.when(F.col("l_node").isNotNull(), 1).otherwise(0).alias("part"))
+    other = other.join(of, F.col("at") == F.col("hot"), "left")
+    hot_guests = other.where("hot is not null").join(big, F.col("b") == F.col("l_node"), "left").where("l_node is null or c <> main").select("at", "b", "f_b", "g_b", F.lit(1).alias("part_b"))
+    other = other.select("at", "b", "f_b", "g_b", F.lit(0).alias("part_b")).unionByName(hot_guests)
+    met = homes.join(other, meet & (F.col("part") == F.col("part_b")))
+    return first.unionByName(similar(met.select(*pair)))
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
