@@ -14,8 +14,8 @@ have sizes within 5 to 4.
 
 Texts with equal sets are one node of the search, all without words among them. Anchors with far more homes than
 others belong to large groups of near copies. One home of each is a lead; every text is first compared with two of the
-leads it meets, the nearest and the first by hash. What this links is one component; at a hot anchor the homes of its
-main component aren't compared with that component's guests any more.
+leads it meets, the nearest and the first by hash. What this links is one component, whose members aren't compared
+among themselves any more; at a hot anchor they don't even meet.
 
 Nulls count as empty texts. A row is known by its id and the hash of its text; of a group of near copies the row of
 the least id stays, rows without an id come last. Rows that share an id but aren't near copies are judged apart.
@@ -40,9 +40,10 @@ RECALL = 0.95
 FLIPS = 0.1515
 #: Bits that may differ: of the 95 that are sent, and of all 192. Pairs at 0.8 exceed them about once in 20000.
 NEAR, NEAR_ALL = 28, 48
-#: Homes that make an anchor hot, besides 16 times the mean; and how many hot anchors, the fullest, are told to all
+#: Homes that make an anchor hot, besides 4 times the mean; and how many hot anchors, the fullest, are told to all
 #: tasks (40 bytes each). What is linked doesn't depend on either.
-HOT, MOST_HOT = 256, 100_000
+HOT, MOST_HOT = 24, 100_000
+MOST_SENT = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _CHUNK = 1 << 14
 
@@ -175,7 +176,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, s array<bigint>")
 
 
-_ROW = "bucket bigint, node bigint, f bigint, g int"
+_ROW = "bucket bigint, node bigint, f bigint, g int, c bigint"
 
 
 def _further(g0: Column) -> Column:
@@ -187,18 +188,35 @@ def _numbers(batch, lo: int, size: int = 4096) -> list[np.ndarray]:
     return [np.asarray(c.slice(lo, size).to_numpy(zero_copy_only=False)) for c in batch.columns]
 
 
-def _spread(nodes: DataFrame, tables: Tables, guests: bool) -> DataFrame:
-    """(bucket, node, f, g) of every node's homes or visits."""
+def _spread(nodes: DataFrame, tables: Tables, guests: bool, main: np.ndarray | None = None) -> DataFrame:
+    """(bucket, node, f, g, c) of every node's homes or visits; c is null where it is the node itself.
+
+    With ``main``, rows (hot bucket, its main component), buckets are doubled: homes of the main component are in the
+    second half, which only guests of other components visit as well.
+    """
     import pyarrow as pa
 
+    shared = None if main is None else nodes.sparkSession.sparkContext.broadcast(main[np.argsort(main[:, 0], kind="stable")])
+
     def run(batches):
+        main = None if shared is None else shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                node, n, f, g = _numbers(batch, lo)
+                node, n, f, g, c = _numbers(batch, lo)
                 for bucket, of in (tables.guests if guests else tables.homes)(f, n):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[of]), pa.array(f[of]), pa.array(g[of])], names=["bucket", "node", "f", "g"])
+                    if main is not None:
+                        at = np.minimum(np.searchsorted(main[:, 0], bucket), len(main) - 1)
+                        hot = main[at, 0] == bucket
+                        own = hot & (main[at, 1] == c[of])
+                        bucket = bucket << 1
+                        if guests:
+                            more = np.flatnonzero(hot & ~own)
+                            bucket, of = np.concatenate([bucket, bucket[more] | 1]), np.concatenate([of, of[more]])
+                        else:
+                            bucket = bucket | own
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[of]), pa.array(f[of]), pa.array(g[of]), pa.array(c[of], mask=(c == node)[of])], names=["bucket", "node", "f", "g", "c"])
 
-    return nodes.where("n > 0").select("node", "n", "f", _further(F.col("g0")).alias("g")).mapInArrow(run, _ROW)
+    return nodes.where("n > 0").select("node", "n", "f", _further(F.col("g0")).alias("g"), "c").mapInArrow(run, _ROW)
 
 
 def _leads_met(nodes: DataFrame, tables: Tables, leads: np.ndarray) -> DataFrame:
@@ -254,43 +272,42 @@ def similar_links(each: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sim
         sized = F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p
         close = staged(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(sized & (differ <= NEAR_ALL)).select("a", "b", "n_a", "n_b"), "close")
         wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        rows = nodes.join(wanted, "node", "left_semi").select("node", "row.*").withColumnsRenamed({"id": "w_id", "h": "w_h"})
+        rows = staged(nodes.join(wanted, "node", "left_semi").select("node", "row.*").withColumnsRenamed({"id": "w_id", "h": "w_h"}), "wanted")
+        # At most MOST_SENT rows of 24 bytes are told to all tasks; beyond that, texts are shuffled.
+        rows = F.broadcast(rows) if rows.count() <= MOST_SENT else rows
         found = texts.join(rows, texts["id"].eqNullSafe(rows["w_id"]) & (texts["h"] == rows["w_h"])).select("node", "t")
         held = staged(_sets(found, shingle).dropDuplicates(["node"]), "sets")
         both = close.join(held.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         # |x & y| / |x | y| >= p / q in integers.
         return staged(both.where((p + q) * F.size(F.array_intersect("x", "y")) >= p * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "similar")
 
-    homes, guests = _spread(nodes, own, False), _spread(nodes, own, True)
-    counts = staged(homes.groupBy("bucket").agg(F.count("*").alias("k"), F.min_by(F.struct("node", "f", "g"), F.xxhash64("node", "bucket")).alias("lead")), "anchors")
-    mean = counts.agg(F.avg("k")).first()[0] or 0
-    # At most MOST_HOT rows, whatever the input.
-    leads = counts.where(F.col("k") > HOT + 16 * mean).orderBy(F.desc("k"), "bucket").limit(MOST_HOT).select("bucket", "lead.*").collect()
     near = F.bit_count(F.col("f").bitwiseXOR(F.col("f_b"))) + F.bit_count(F.col("g").bitwiseXOR(F.col("g_b"))) <= NEAR
-    other = guests.select(F.col("bucket").alias("at"), F.col("node").alias("b"), F.col("f").alias("f_b"), F.col("g").alias("g_b"))
-    meet = (F.col("bucket") == F.col("at")) & (F.col("node") != F.col("b")) & near
-    pair = F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")
+    apart = F.coalesce(F.col("c") != F.col("c_b"), F.lit(True))
+
+    def met(homes: DataFrame, guests: DataFrame) -> DataFrame:
+        guests = guests.select(F.col("bucket").alias("at"), F.col("node").alias("b"), F.col("f").alias("f_b"), F.col("g").alias("g_b"), F.col("c").alias("c_b"))
+        pairs = homes.join(guests, (F.col("bucket") == F.col("at")) & (F.col("node") != F.col("b")) & apart & near)
+        return similar(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")))
+
+    alone = nodes.withColumn("c", F.col("node"))
+    counts = staged(_spread(alone, own, False).groupBy("bucket").count(), "anchors")
+    mean = counts.agg(F.avg("count")).first()[0] or 0
+    # At most MOST_HOT rows, whatever the input.
+    full = counts.where(F.col("count") > HOT + 4 * mean).orderBy(F.desc("count"), "bucket").select(F.col("bucket").alias("hot")).limit(MOST_HOT)
+    hot = F.broadcast(staged(full, "hot"))
+    at_hot = _spread(alone, own, False).join(hot, F.col("bucket") == F.col("hot"))
+    leads = at_hot.groupBy("bucket").agg(F.min_by(F.struct("node", "f", "g"), F.xxhash64("node", "bucket")).alias("lead")).select("bucket", "lead.*").collect()
     if not leads:
-        return similar(homes.join(other, meet).select(*pair))
+        return met(_spread(alone, own, False), _spread(alone, own, True))
     first = similar(_leads_met(nodes, own, np.array([tuple(r) for r in leads], np.int64)))
-    component = staged(connected_components(first).select(F.col("node").alias("m"), F.col("component").alias("c")), "first_components")
-    spark = nodes.sparkSession
-    hot = F.broadcast(spark.createDataFrame([(r.bucket,) for r in leads], "hot bigint"))
-    main = homes.join(hot, F.col("bucket") == F.col("hot")).join(component, F.col("node") == F.col("m")).groupBy("bucket", "c").count()
-    main = staged(main.groupBy("bucket").agg(F.max_by("c", "count").alias("main")).withColumnRenamed("bucket", "hot"), "main")
-    labelled = staged(nodes.join(component, F.col("node") == F.col("m"), "left").select("node", "n", "f", "g0", F.coalesce("c", "node").alias("c")), "labelled")
-    # Members of first components are told from others by a table of them; homes of a hot anchor's main component meet
-    # only guests of others (part 1), its other homes meet all guests (part 0).
-    of = F.broadcast(main)
-    named = labelled.select(F.col("node").alias("l_node"), F.col("c")).join(main.select(F.col("main").alias("c")).distinct(), "c", "left_semi")
-    big = staged(named, "big")
-    homes = homes.join(of, F.col("bucket") == F.col("hot"), "left").join(big, (F.col("node") == F.col("l_node")) & (F.col("main") == F.col("c")), "left")
-    homes = homes.select("bucket", "node", "f", "g", F.when(F.col("l_node").isNotNull(), 1).otherwise(0).alias("part"))
-    other = other.join(of, F.col("at") == F.col("hot"), "left")
-    hot_guests = other.where("hot is not null").join(big, F.col("b") == F.col("l_node"), "left").where("l_node is null or c <> main").select("at", "b", "f_b", "g_b", F.lit(1).alias("part_b"))
-    other = other.select("at", "b", "f_b", "g_b", F.lit(0).alias("part_b")).unionByName(hot_guests)
-    met = homes.join(other, meet & (F.col("part") == F.col("part_b")))
-    return first.unionByName(similar(met.select(*pair)))
+    component = connected_components(first).select(F.col("node").alias("m"), F.col("component").alias("c"))
+    labelled = nodes.join(component, F.col("node") == F.col("m"), "left").withColumn("c", F.coalesce("c", "node")).drop("m")
+    labelled = staged(labelled, "labelled")
+    main = _spread(labelled, own, False).where("c is not null").join(hot, F.col("bucket") == F.col("hot")).groupBy("bucket", "c").count()
+    main = main.groupBy("bucket").agg(F.max_by("c", "count")).collect()
+    main = np.array([tuple(r) for r in main], np.int64).reshape(-1, 2)
+    main = main if len(main) else None
+    return first.unionByName(met(_spread(labelled, own, False, main), _spread(labelled, own, True, main)))
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

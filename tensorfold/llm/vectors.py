@@ -48,6 +48,16 @@ def matrix(column, d: int) -> tuple[np.ndarray, np.ndarray]:
     return mask, x[good]
 
 
+def bounded_sample(rows: DataFrame, vec_id: str, vector: str, d: int, most_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors in double precision) of the usable vectors among the first rows by the hash of their id, of at
+    most ``most_bytes`` on the driver (but 64 rows at least)."""
+    if not d:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    picked = rows.orderBy(F.xxhash64(vec_id), vec_id).select(vec_id, vector).limit(max(64, most_bytes // (8 * d))).toArrow()
+    mask, x = matrix(picked[vector], d)
+    return np.asarray(picked[vec_id])[mask], x
+
+
 def lists(x: np.ndarray, kind):
     """An Arrow list column of the rows of a matrix."""
     import pyarrow as pa

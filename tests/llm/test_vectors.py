@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tensorfold.llm import lsh_search, multi_index, vectors
@@ -55,10 +56,53 @@ def test_search(spark):
         hits += len({r.vec_id for r in found} & set(best))
     assert hits / (20 * len(by)) >= 0.9
     few = lsh_search.nearest(table(spark, x[:5]), F.col("id") == 0).collect()
-    assert sorted(r["rank"] for r in few) == list(range(1, len(few) + 1)) and len(few) <= 4
+    assert sorted(r["rank"] for r in few) == [1, 2, 3, 4]
+    assert lsh_search.nearest(table(spark, x[:1]), F.col("id") == 0).count() == 0
     assert lsh_search.nearest(table(spark, x[:1]).limit(0), F.col("id") == 0).count() == 0
 
 
+def recall_of(spark, x, every, **options):
+    x = x.astype(np.float32).astype(float)
+    out = lsh_search.nearest(table(spark, x), F.col("id") % every == 0, **options).collect()
+    asked, hits, by = range(0, len(x), every), 0, {}
+    for r in out:
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = min(20, len(x) - 1)
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert sorted(r for r, _, _ in by[q]) == list(range(1, want + 1))
+        assert all(abs(score - s[v]) < 1e-9 * max(1, abs(score)) for _, v, score in by[q])
+        least = np.partition(s, -want)[-want]
+        hits += sum(score >= least - 1e-9 * abs(least) for _, _, score in by[q])
+    return hits / (want * len(asked))
+
+
+@pytest.mark.parametrize("kind", ["equal", "lognormal 1", "lognormal 1.5", "outlier", "clusters", "negative"])
+@pytest.mark.parametrize("d", [16, 64])
+def test_search_recall(spark, kind, d):
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(1600, d))
+    if kind == "equal":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    elif kind.startswith("lognormal"):
+        x *= rng.lognormal(sigma=float(kind.split()[1]), size=(1600, 1))
+    elif kind == "outlier":
+        x[11] *= 1000
+    elif kind == "clusters":
+        x = x[rng.integers(0, 40, 1600)] + 0.3 * rng.normal(size=x.shape)
+    elif kind == "negative":
+        # Two opposite clouds: the query's own has few rows.
+        x = np.where(np.arange(1600)[:, None] < 10, -1, 1) * (3 + rng.normal(size=x.shape))
+    assert recall_of(spark, x, 20) >= 0.9
+
+
+@pytest.mark.parametrize("n, d", [(500, 768), (21, 8), (2, 3), (5, 1)])
+def test_search_recall_of_other_sizes(spark, n, d):
+    x = np.random.default_rng(n).normal(size=(n, d))
+    assert recall_of(spark, x, 5) >= 0.9
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))
