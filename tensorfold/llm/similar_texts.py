@@ -13,9 +13,9 @@ Pairs that meet are compared by 95 bits, then by 192, then exactly by their shin
 have sizes within 5 to 4.
 
 Texts with equal sets are one node of the search, all without words among them. Anchors with far more homes than
-others belong to large groups of near copies. One home of each is a lead; every text is first compared with two of the
-leads it meets, the nearest and the first by hash. What this links is one component, whose members aren't compared
-among themselves any more; at a hot anchor they don't even meet.
+others belong to large groups of near copies. Some homes of each are leads; in a few rounds, every text is first
+compared with two of the leads it meets that aren't in its component yet, the nearest and the first by hash. Members of
+a component aren't compared among themselves any more; at a hot anchor they don't even meet.
 
 Nulls count as empty texts. A row is known by its id and the hash of its text; of a group of near copies the row of
 the least id stays, rows without an id come last. Rows that share an id but aren't near copies are judged apart.
@@ -28,6 +28,7 @@ from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh, staged
@@ -35,14 +36,16 @@ from .components import connected_components
 from .simhash import GOLAY_BITS, AnchorCode
 
 SHINGLE, SIMILARITY = 5, 0.8
-RECALL = 0.95
+RECALL = 0.98
 #: Share of bits in which the fingerprints of sets of a similarity of 0.8 differ: acos(8 / 9) / pi.
 FLIPS = 0.1515
-#: Bits that may differ: of the 95 that are sent, and of all 192. Pairs at 0.8 exceed them about once in 20000.
+#: Bits that may differ: of the 95 that are sent, and of all 192. Pairs at 0.8 exceed them about once in 5000.
 NEAR, NEAR_ALL = 28, 48
 #: Homes that make an anchor hot, besides 4 times the mean; and how many hot anchors, the fullest, are told to all
-#: tasks (40 bytes each). What is linked doesn't depend on either.
-HOT, MOST_HOT = 24, 100_000
+#: tasks (40 bytes for each lead). What is linked doesn't depend on either.
+HOT, MOST_HOT = 24, 25_000
+#: Homes of a hot anchor that lead, and how often all texts near leads are compared with them.
+LEADS, ROUNDS = 4, 4
 MOST_SENT = 500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _CHUNK = 1 << 14
@@ -103,9 +106,9 @@ class Tables:
 
     @staticmethod
     def size(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, may a set larger by a quarter be in the next one): classes grow by (5 / 4)^2."""
+        """(class, may a set larger by a quarter be in the next one): classes grow by (5 / 4)^4."""
         steps = np.floor(np.log(np.maximum(n, 1)) / np.log(1.25) + 1e-9).astype(np.int64)
-        return steps >> 1, steps & 1 > 0
+        return steps >> 2, steps & 3 == 3
 
     def homes(self, f: np.ndarray, n: np.ndarray):
         """(bucket, position) of each fingerprint's home in each table."""
@@ -220,7 +223,8 @@ def _spread(nodes: DataFrame, tables: Tables, guests: bool, main: np.ndarray | N
 
 
 def _leads_met(nodes: DataFrame, tables: Tables, leads: np.ndarray) -> DataFrame:
-    """(a, b): every node with two of the leads (bucket, node, f, g) near it, the nearest and the first by hash."""
+    """(a, b): every node with two of the leads (bucket, node, f, g, c) near it, the nearest and the first by hash;
+    leads of its own component don't count."""
     import pyarrow as pa
 
     leads = leads[np.argsort(leads[:, 0], kind="stable")]
@@ -228,30 +232,32 @@ def _leads_met(nodes: DataFrame, tables: Tables, leads: np.ndarray) -> DataFrame
 
     def run(batches):
         leads = shared.value
+        known, begin = np.unique(leads[:, 0], return_index=True)
+        size = np.diff(np.append(begin, len(leads)))
         rank = (leads[:, 1].view(np.uint64) * _MIX[0] >> np.uint64(1)).view(np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                node, n, f, g = _numbers(batch, lo)
+                node, n, f, g, c = _numbers(batch, lo)
                 who, lead = [], []
                 for bucket, of in tables.guests(f, n):
-                    at = np.minimum(np.searchsorted(leads[:, 0], bucket), len(leads) - 1)
-                    hit = np.flatnonzero((leads[at, 0] == bucket) & (leads[at, 1] != node[of]))
-                    who.append(of[hit])
-                    lead.append(at[hit])
+                    at = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
+                    hit = np.flatnonzero(known[at] == bucket)
+                    at, of = at[hit], of[hit]
+                    who.append(np.repeat(of, size[at]))
+                    lead.append(np.repeat(begin[at], size[at]) + np.arange(size[at].sum()) - np.repeat(np.cumsum(size[at]) - size[at], size[at]))
                 who, lead = np.concatenate(who), np.concatenate(lead)
                 far = np.bitwise_count((f[who] ^ leads[lead, 2]).view(np.uint64)).astype(np.int64) + np.bitwise_count((g[who] ^ leads[lead, 3].astype(np.int32)).view(np.uint32))
-                near = far <= NEAR
+                near = (far <= NEAR) & (leads[lead, 4] != c[who])
                 who, lead, far = who[near], lead[near], far[near]
                 out = []
                 for key in (far, rank[lead]):
                     order = np.lexsort((leads[lead, 1], key, who))
-                    first = order[np.append(True, who[order][1:] != who[order][:-1])[: len(order)]]
-                    out.append(first)
+                    out.append(order[np.append(True, who[order][1:] != who[order][:-1])[: len(order)]])
                 pick = np.unique(np.concatenate(out))
                 a, b = node[who[pick]], leads[lead[pick], 1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return nodes.where("n > 0").select("node", "n", "f", _further(F.col("g0")).alias("g")).mapInArrow(run, "a bigint, b bigint")
+    return nodes.where("n > 0").select("node", "n", "f", _further(F.col("g0")).alias("g"), "c").mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_links(each: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tables: int | None = None) -> DataFrame:
@@ -296,18 +302,30 @@ def similar_links(each: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sim
     full = counts.where(F.col("count") > HOT + 4 * mean).orderBy(F.desc("count"), "bucket").select(F.col("bucket").alias("hot")).limit(MOST_HOT)
     hot = F.broadcast(staged(full, "hot"))
     at_hot = _spread(alone, own, False).join(hot, F.col("bucket") == F.col("hot"))
-    leads = at_hot.groupBy("bucket").agg(F.min_by(F.struct("node", "f", "g"), F.xxhash64("node", "bucket")).alias("lead")).select("bucket", "lead.*").collect()
+    nth = F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket"), "node"))
+    leads = at_hot.select("bucket", "node", "f", "g", nth.alias("nth")).where(F.col("nth") <= LEADS).drop("nth").collect()
     if not leads:
         return met(_spread(alone, own, False), _spread(alone, own, True))
-    first = similar(_leads_met(nodes, own, np.array([tuple(r) for r in leads], np.int64)))
-    component = connected_components(first).select(F.col("node").alias("m"), F.col("component").alias("c"))
-    labelled = nodes.join(component, F.col("node") == F.col("m"), "left").withColumn("c", F.coalesce("c", "node")).drop("m")
-    labelled = staged(labelled, "labelled")
+    leads = np.array([tuple(r) for r in leads], np.int64)
+    leads = np.hstack([leads, leads[:, 1:2]])
+    labelled, links = alone, None
+    for _ in range(ROUNDS):
+        found = similar(_leads_met(labelled, own, leads))
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        component = connected_components(links).select(F.col("node").alias("m"), F.col("component").alias("c"))
+        labelled = staged(nodes.join(component, F.col("node") == F.col("m"), "left").withColumn("c", F.coalesce("c", "node")).drop("m"), "labelled")
+        of = F.broadcast(nodes.sparkSession.createDataFrame([(int(x),) for x in np.unique(leads[:, 1])], "lead bigint"))
+        c = dict(tuple(r) for r in labelled.join(of, F.col("node") == F.col("lead")).select("node", "c").collect())
+        leads[:, 4] = [c[x] for x in leads[:, 1].tolist()]
+    if links is None:
+        return met(_spread(alone, own, False), _spread(alone, own, True))
     main = _spread(labelled, own, False).where("c is not null").join(hot, F.col("bucket") == F.col("hot")).groupBy("bucket", "c").count()
     main = main.groupBy("bucket").agg(F.max_by("c", "count")).collect()
     main = np.array([tuple(r) for r in main], np.int64).reshape(-1, 2)
     main = main if len(main) else None
-    return first.unionByName(met(_spread(labelled, own, False, main), _spread(labelled, own, True, main)))
+    return links.unionByName(met(_spread(labelled, own, False, main), _spread(labelled, own, True, main)))
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
