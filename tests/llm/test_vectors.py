@@ -121,6 +121,34 @@ def test_near_duplicates(spark):
     assert multi_index.near_duplicates(table(spark, x[:2]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["subspace", "decaying", "permuted", "clusters", "copies"])
+def test_near_duplicate_recall(spark, kind):
+    rng = np.random.default_rng(31)
+    n, d = 1500, 64
+    if kind == "subspace":
+        turn = np.linalg.qr(rng.normal(size=(d, d)))[0]
+        x = rng.normal(size=(n, 6)) @ turn[:6]
+    elif kind in ("decaying", "permuted"):
+        scale = 0.6 ** np.arange(d)
+        x = rng.normal(size=(n, d)) * (scale if kind == "decaying" else rng.permutation(scale))
+    elif kind == "clusters":
+        x = rng.normal(size=(60, d))[rng.integers(0, 60, n)] + 0.25 * rng.normal(size=(n, d))
+    else:
+        x = rng.normal(size=(n, d))
+        x[200:900] = x[3]
+        x[900:1000] = 2 * x[5]
+    x = x.astype(np.float32).astype(float)
+    out = {r.vec_id: r for r in multi_index.near_duplicates(table(spark, x)).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = np.array([out[i].n_links for i in range(n)])
+    assert (got <= near.sum(axis=1)).all() and got.sum() >= 0.98 * near.sum()
+    if kind == "copies":
+        assert {out[i].component_id for i in range(200, 900)} == {3} and {out[i].component_id for i in range(900, 1000)} == {5}
+        assert got[200] == near[200].sum() >= 700
+
+
 def test_multi_sequence_orders_cells():
     rng = np.random.default_rng(4)
     grid = multi_index.MultiIndex(rng.normal(size=(9, 4)), rng.normal(size=(7, 4)))
