@@ -34,7 +34,7 @@ POINTS = (64, 128, 256, 512, 1024)
 #: Order 0 and the shares each are of 2**12; a place needs 2 more bits for its confidence.
 _BITS, _SURE = 12, 3
 _TOTAL = 1 << _BITS
-_SLOT_BITS = 13
+_SLOT_BITS = 11
 _SLOTS = 1 << _SLOT_BITS
 _MASK = np.int64(_SLOTS - 1)
 #: The window of 63 bits and the words of 32 that leave it.
@@ -150,7 +150,7 @@ def _encode(places: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
         model.predict()
         right2, right1 = model.two_names == x, model.one_names == x
         missed = ~(right2 | right1)
-        outcome = model.context + np.where(right2, 0, 1 + missed)
+        outcome = model.context + (missed.view(np.int8) - right2.view(np.int8) + np.int8(1))
         place = np.where(missed, model.row0 + x, hit)
         share, own = model.share.take(outcome), model.parts.take(place).astype(np.uint64)
         part = span >> _STEP
@@ -256,7 +256,7 @@ def _letters(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     letters = np.flatnonzero(there)
     place = np.zeros(most + 1, np.int32)
     place[letters] = np.arange(len(letters))
-    return letters, place[ids]
+    return letters, place.take(ids)
 
 
 def pack_group(ids: np.ndarray) -> bytes:
@@ -267,12 +267,14 @@ def pack_group(ids: np.ndarray) -> bytes:
     letters, at = _letters(ids)
     k = len(letters)
     # What the last block lacks is filled up with an id it has.
-    at = np.concatenate([at, np.full(lanes * steps - n, at[-1])]).reshape(lanes, steps)
+    if lanes * steps > n:
+        at = np.concatenate([at, np.full(lanes * steps - n, at[-1], at.dtype)])
+    at = at.reshape(lanes, steps)
     places, gaps, sizes = np.zeros((steps, lanes), np.uint16), [], np.zeros(lanes, np.int64)
     chunk = max(1, (1 << 24) // k)
     for lo in range(0, lanes, chunk):
         part = at[lo : lo + chunk]
-        cell = part + (np.arange(len(part)) * k)[:, None]
+        cell = (part + (np.arange(len(part)) * k)[:, None]).T.ravel()
         there = np.zeros(len(part) * k, bool)
         there[cell] = True
         found = np.flatnonzero(there)
@@ -280,7 +282,7 @@ def pack_group(ids: np.ndarray) -> bytes:
         begin = np.cumsum(size) - size
         place = np.zeros(len(part) * k, np.uint16)
         place[found] = np.arange(len(found)) - np.repeat(begin, size)
-        places[:, lo : lo + len(part)] = place[cell].T
+        places[:, lo : lo + len(part)] = place.take(cell).reshape(steps, -1)
         gap = np.diff(found, prepend=-1) - 1
         gap[begin] = found[begin] % k
         gaps.append(gap)

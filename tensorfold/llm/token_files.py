@@ -47,8 +47,9 @@ _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _BLANKS = " \t\n\v\f\r\x85\xa0"
 #: By character of Latin-1, where composition changes nothing and case goes letter by letter: what the pattern takes it for.
 _KIND = np.array([_SPACE if c in _BLANKS else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(c)[0], _OTHER) for c in map(chr, range(256))], np.uint8)
+_LOWER = bytes(ord(chr(i).lower()) for i in range(256))
 #: Characters of texts that are taken apart at once.
-_AT_ONCE = 6 << 20
+_AT_ONCE = 8 << 20
 
 
 class WordTokenizer:
@@ -117,10 +118,15 @@ class WordTokenizer:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        found = pc.index_in(words, value_set=self.words)
-        if not found.null_count:
-            return found.to_numpy().astype(np.int64)
-        new = words.filter(found.is_null())
+        # The memory is looked up among the words, of which there are fewer, and not the other way round.
+        hit = pc.index_in(self.words, value_set=words)
+        there = np.asarray(hit.is_valid())
+        out = np.full(len(words), -1, np.int64)
+        out[hit.drop_null().to_numpy()] = np.flatnonzero(there)
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out
+        new = words.take(pa.array(missing))
         plain = [w.decode("latin-1" if units else "utf-8").rstrip(_BLANKS) for w in new.to_pylist()]
         # White space alone has no ids.
         full = np.array([bool(w) for w in plain])
@@ -131,15 +137,14 @@ class WordTokenizer:
         self.ids = np.concatenate([self.ids, ids])
         self.begin = np.concatenate([self.begin, before + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        out = np.array(found.fill_null(0)).astype(np.int64)
-        out[found.is_null().to_numpy(zero_copy_only=False)] = np.arange(at, at + len(plain))
+        out[missing] = np.arange(at, at + len(plain))
         return out
 
     def _cut(self, texts: list[str]):
         """(distinct words, which of them come one after another, how many words each text has) of Latin-1 texts."""
         import pyarrow as pa
 
-        joined = "\n".join(texts).lower().encode("latin-1")
+        joined = "\n".join(texts).encode("latin-1").translate(_LOWER)
         raw = np.frombuffer(joined, np.uint8)
         kind = _KIND[raw]
         # A word starts where the kind changes or at a number; the white space behind it counts as its own.
@@ -274,10 +279,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
                     part = batch.slice(lo, 2048)
                     ids, counts = own.encode_batch(part.column(1).to_pylist())
                     if end_id is not None:
-                        # Each text's ids move on by the end ids before them.
-                        whole = np.full(len(ids) + len(counts), end_id, np.uint32)
-                        whole[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
-                        ids, counts = whole, counts + 1
+                        counts = counts + 1
+                        whole, inner = np.full(len(ids) + len(counts), end_id, np.uint32), np.ones(len(ids) + len(counts), bool)
+                        inner[np.cumsum(counts) - 1] = False
+                        whole[inner] = ids
+                        ids = whole
                     rows_ = np.zeros(len(counts), _INDEX)
                     rows_["id"], rows_["none"], rows_["n"] = part.column(0).fill_null(0).to_numpy(zero_copy_only=False), part.column(0).is_null().to_numpy(zero_copy_only=False), counts
                     index.append(rows_)
