@@ -28,6 +28,8 @@ from .streaming import ticks
 from .types import CLAMP, COMPLEX, CYCLIC, FULL, VALID, ZERO, FieldType, downsample_output, upsample_input
 
 WIDTH = 64
+#: Divides what is transformed: no sum of its values then ends on the half of a digit that results are rounded to.
+ODD = 0.7103
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -92,8 +94,31 @@ class Tables:
     def color(self) -> Field:
         return self._once("color", lambda: p.color_field(self.s, self.q, self.s + self.q))
 
-    def small(self, rows: int, cols: int) -> Field:
-        return sh.trim(self.s, (rows, cols))
+    def _wide(self, table: str, key: str, value: Column) -> Field:
+        """All keys on a square whose sides are a power of two, the least that holds them; its rest is zero."""
+
+        def side():
+            keys = self.table("orders").agg(F.max("o_orderkey")).first()[0] + 1
+            return 1 << -(-(keys - 1).bit_length() // 2)
+
+        return from_table(self.table(table), F.col(key), value, (self._once("side", side),) * 2)
+
+    @property
+    def wide_n(self) -> Field:
+        return self._once("wide_n", lambda: (self._wide("orders", "o_orderkey", F.rint("o_totalprice")) / 2.0**19 - 0.25) / ODD)
+
+    @property
+    def wide_m(self) -> Field:
+        return self._once("wide_m", lambda: (self._wide("lineitem", "l_orderkey", F.col("l_quantity")) / 2.0**9 - 0.25) / ODD)
+
+    @property
+    def wide_c(self) -> Field:
+        return self._once("wide_c", lambda: p.complex_field(self.wide_n, self.wide_m))
+
+    @property
+    def folded(self) -> Field:
+        """All order prices summed onto 64 x 64 points, the largest field that some operators take."""
+        return self._once("folded", lambda: from_table(self.table("orders"), F.col("o_orderkey") % 4096, F.rint("o_totalprice"), (64, 64)))
 
 
 def number(x: Column, digits: int | None) -> Column:
@@ -290,11 +315,13 @@ shaped("stack", lambda f: sh.stack(f.s, f.q), "SELECT 0 AS layer, row, col, v FR
 shaped("join_fields", lambda f: sh.join(f.s, f.q), "SELECT layer, row, col, v FROM s UNION ALL SELECT layer, row + h, col, v FROM q, size")
 shaped("push", lambda f: sh.push(f.s, sh.slice_at(f.q, 0)), "SELECT layer, row + 1 AS row, col, v FROM s, size WHERE row < h - 1 UNION ALL SELECT layer, 0, col, v FROM q WHERE row = 0")
 shaped("outer_product", lambda f: sh.outer(sh.slice_at(f.s, 1), sh.slice_at(f.q, 2)), "SELECT 0 AS layer, a.col AS row, b.col AS col, a.v * b.v AS v FROM s a, q b WHERE a.row = 1 AND b.row = 2")
+shaped("select_first", lambda f: sh.select([f.s, f.q], r.field_reduce_max(f.q) * 0.0), "SELECT * FROM s")
 shaped("select", lambda f: sh.select([f.s, f.q], r.field_reduce_max(f.q) * 0.0 + 1.0), "SELECT * FROM q")
 shaped("warp", lambda f: st.warp(f.s, Field.of(f.spark, [1.5, 0.5], 1), CLAMP), "SELECT o.layer, o.row, o.col, sum(x.v * 0.25) AS v FROM s o, size, (VALUES (-2), (-1)) a(i), (VALUES (-1), (0)) b(j), s x WHERE x.row = least(greatest(o.row + i, 0), h - 1) AND x.col = least(greatest(o.col + j, 0), w - 1) GROUP BY o.layer, o.row, o.col")
 shaped("subfield", lambda f: st.subfield(f.s, Field.of(f.spark, [1.5, -0.5], 1), (6, 9), ZERO), "SELECT 0 AS layer, o.row, o.col, coalesce(sum(x.v * 0.25), 0) AS v FROM (SELECT row, col FROM s WHERE row < 6 AND col < 9) o CROSS JOIN (VALUES (1), (2)) a(i) CROSS JOIN (VALUES (-1), (0)) b(j) LEFT JOIN s x ON x.row = o.row + i AND x.col = o.col + j GROUP BY o.row, o.col")
-query("subfields", lambda f: st.subfields(f.small(8, 8), 3), f"SELECT 0 AS layer, (x.row - i)::INT AS row, (x.col - j)::INT AS col, (i * 6 + j)::INT AS e, v + 0.0 AS v FROM s x, (SELECT range AS i FROM range(6)), (SELECT range AS j FROM range(6)) WHERE x.row < 8 AND x.col < 8 AND x.row - i BETWEEN 0 AND 2 AND x.col - j BETWEEN 0 AND 2", None)
-query("replicate", lambda f: t.replicate(f.small(2, 3), (4, 5)), f"SELECT 0 AS layer, a.range::INT AS row, b.range::INT AS col, (s.row * 3 + s.col)::INT AS e, v + 0.0 AS v FROM range(4) a, range(5) b, s WHERE s.row < 2 AND s.col < 3", None)
+_FOLDED = ", folded AS (SELECT (k // 64)::INT AS row, (k % 64)::INT AS col, coalesce(x, 0)::DOUBLE AS v FROM (SELECT range AS k FROM range(4096)) LEFT JOIN (SELECT o_orderkey % 4096 AS k, sum(round_even(o_totalprice, 0)) AS x FROM orders GROUP BY 1) USING (k))"
+query("subfields", lambda f: st.subfields(f.folded, 3), f"{_FOLDED} SELECT 0 AS layer, (x.row - i)::INT AS row, (x.col - j)::INT AS col, (i * 62 + j)::INT AS e, v + 0.0 AS v FROM folded x, (SELECT range AS i FROM range(62)), (SELECT range AS j FROM range(62)) WHERE x.row - i BETWEEN 0 AND 2 AND x.col - j BETWEEN 0 AND 2", None)
+query("replicate", lambda f: t.replicate(f.folded, (4, 5)), f"{_FOLDED} SELECT 0 AS layer, a.range::INT AS row, b.range::INT AS col, (x.row * 64 + x.col)::INT AS e, v + 0.0 AS v FROM range(4) a, range(5) b, folded x", None)
 query("casts", lambda f: p.to_vector_field(p.to_color_field(f.color)), f"SELECT {AT}, e, (CASE e WHEN 0 THEN x WHEN 1 THEN y ELSE x + y END) + 0.0 AS v FROM b, (VALUES (0), (1), (2)) t(e)", None)
 
 # ---- tensors ---------------------------------------------------------------------------------------------------
@@ -317,7 +344,7 @@ query("reverse_cross_dot", lambda f: t.reverse_cross_dot(f.pair, f.q), f"SELECT
 query("transform_vector", lambda f: t.transform(f.square, t.vector_field(f.n, f.m)), f"SELECT {AT}, e, {_round('CASE e WHEN 0 THEN x * x + y * y ELSE y * x + (x + 1) * y END', 6)} AS v FROM c, (VALUES (0), (1)) t(e)")
 query("transform_matrix", lambda f: t.transform(f.square, f.square, transpose_b=True), f"SELECT {AT}, e, {_round('CASE e WHEN 0 THEN x * x + y * y WHEN 3 THEN y * y + (x + 1) * (x + 1) ELSE x * y + y * (x + 1) END', 6)} AS v FROM c, (VALUES (0), (1), (2), (3)) t(e)")
 query("invert_matrices", lambda f: t.invert_matrices(t.matrix_field(f.n + 3.0, f.m, f.m, f.n + 3.0, rows=2)), f"SELECT {AT}, e, {_round('CASE WHEN e IN (0, 3) THEN x + 3 ELSE -y END / ((x + 3) * (x + 3) - y * y)', 6)} AS v FROM c, (VALUES (0), (1), (2), (3)) t(e)")
-query("invert_matrices_3x3", lambda f: t.invert_matrices(t.matrix_field(f.n + 3.0, f.m, f.m, f.m, f.n + 3.0, f.m, f.m, f.m, f.n + 3.0, rows=3)))
+query("invert_matrices_3x3", lambda f: t.invert_matrices(t.matrix_field(f.n + 3.0, f.m, f.m, f.m, f.n + 3.0, f.m, f.m, f.m, f.n + 3.0, rows=3)), f"SELECT {AT}, e, {_round('CASE WHEN e % 4 = 0 THEN x + 3 + y ELSE -y END / ((x + 3 - y) * (x + 3 + 2 * y))', 6)} AS v FROM c, (SELECT range::INT AS e FROM range(9)) t")
 query("solve", lambda f: t.solve(t.matrix_field(f.n + 3.0, f.m, f.m, f.n + 3.0, rows=2), t.vector_field(f.n, f.m)), f"SELECT {AT}, e, {_round('CASE e WHEN 0 THEN (x + 3) * x - y * y ELSE (x + 3) * y - y * x END / ((x + 3) * (x + 3) - y * y + 0.00000001)', 6)} AS v FROM c, (VALUES (0), (1)) t(e)")
 scalar("determinant", lambda f: t.determinant(f.square), "x * (x + 1) - y * y")
 scalar("condition_number", lambda f: t.condition_number(t.matrix_field(f.n + 3.0, f.m, f.m, f.n + 3.0, rows=2)), "abs(((2 * x + 6) + sqrt((2 * x + 6) * (2 * x + 6) + 4 * ((x + 3) * (x + 3) - y * y))) / 2 / (((2 * x + 6) - sqrt((2 * x + 6) * (2 * x + 6) + 4 * ((x + 3) * (x + 3) - y * y))) / 2 + 0.0000001))", digits=4)
@@ -376,6 +403,21 @@ def planes(name: str, make, sums: list[str]) -> None:
     query(name, make, f"SELECT {AT}, e, (CASE e {cases} END) + 0.0 AS v FROM b, (VALUES {', '.join(f'({i})' for i in range(len(sums)))}) t(e)", None)
 
 
+def planes_3x3(name: str, make, used: list[list[tuple[int, np.ndarray, bool]]]) -> None:
+    """A vector convolution with 3x3 filters and a zero border: for each plane, which of x and y is summed with which
+    filter, and whether that is turned around."""
+    taps = [(e, image, a, b, w) for e, parts in enumerate(used) for image, filter_, flip in parts for a, b, w in square(filter_, flip)]
+    values = ", ".join(f"({e}, {image}, {a}, {b}, {w}::DOUBLE)" for e, image, a, b, w in taps)
+    query(name, make, f"SELECT o.layer, o.row, o.col, t.e, coalesce(sum(CASE t.p WHEN 0 THEN x.x ELSE x.y END * t.w), 0) + 0.0 AS v FROM b o CROSS JOIN (VALUES {values}) t(e, p, dr, dc, w) LEFT JOIN b x ON x.row = o.row + t.dr AND x.col = o.col + t.dc GROUP BY ALL", None)
+
+
+_F = [np.arange(1.0, 10).reshape(3, 3) * k + np.eye(3) for k in (1, 2, 3, 5)]
+_pair_of = lambda f, *filters: Field.of(f.spark, np.stack(filters, axis=-1), 1)
+planes_3x3("convolve_vectors_3x3", lambda f: st.convolve(f.pair, _pair_of(f, _F[0], _F[1]), ZERO), [[(0, _F[0], True)], [(1, _F[1], True)]])
+planes_3x3("project_frame_3x3", lambda f: st.project_frame(f.pair, _pair_of(f, *_F), ZERO), [[(i % 2, _F[i], False)] for i in range(4)])
+planes_3x3("project_frame_sum_3x3", lambda f: st.project_frame_block_reduce_sum(f.pair, _pair_of(f, *_F), ZERO), [[(0, _F[0], False), (1, _F[1], False)], [(0, _F[2], False), (1, _F[3], False)]])
+planes_3x3("back_project_frame_3x3", lambda f: st.back_project_frame(f.pair, _pair_of(f, *_F), ZERO), [[(0, _F[0], True)], [(1, _F[2], True)], [(0, _F[1], True)], [(1, _F[3], True)]])
+planes_3x3("back_project_frame_sum_3x3", lambda f: st.back_project_frame_block_reduce_sum(f.pair, _pair_of(f, *_F), ZERO), [[(0, _F[0], True), (1, _F[2], True)], [(0, _F[1], True), (1, _F[3], True)]])
 _BANK = np.array([[[2.0, 3.0, 5.0, 7.0]]])
 planes("convolve_vectors", lambda f: st.convolve(f.pair, Field.of(f.spark, [[[2.0, 3.0]]], 1), ZERO), ["2 * x", "3 * y"])
 planes("project_frame", lambda f: st.project_frame(f.pair, Field.of(f.spark, _BANK, 1)), ["2 * x", "3 * y", "5 * x", "7 * y"])
@@ -403,6 +445,8 @@ for _name, _make, _taps, _row, _col, _cover in (
     query(_name, lambda f, g=_make: g(f.s), f"SELECT layer, row, col, e, CASE WHEN {_cover} THEN CASE e WHEN 0 THEN v.a ELSE v.b END ELSE 0 END + 0.0 AS v FROM ({taps_sql(_taps, CLAMP if _cover == 'true' else ZERO, f'{{a: {_lists[0]}, b: {_lists[1]}}}')}), size, (VALUES (0), (1)) t(e)", None)
 shaped("backward_divergence", lambda f: st.backward_divergence(f.pair), "SELECT o.layer, o.row, o.col, CASE WHEN o.row = h - 1 OR o.col = w - 1 THEN 0 ELSE o.x + o.y END - CASE WHEN o.col = w - 1 THEN 0 ELSE coalesce(u.x, 0) END - CASE WHEN o.row = h - 1 THEN 0 ELSE coalesce(l.y, 0) END AS v FROM b o CROSS JOIN size LEFT JOIN b u ON u.row = o.row - 1 AND u.col = o.col LEFT JOIN b l ON l.row = o.row AND l.col = o.col - 1")
 query("bilateral_filter", lambda f: st.bilateral_filter(f.n, _ONES, 0.5), f"SELECT layer, row, col, {_round('v', 6)} AS v FROM (SELECT o.layer, o.row, o.col, sum(exp(-(o.v - x.v) * (o.v - x.v) / 0.25) * x.v) / sum(exp(-(o.v - x.v) * (o.v - x.v) / 0.25)) AS v FROM n o, size, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j), n x WHERE x.row = least(greatest(o.row + i, 0), h - 1) AND x.col = least(greatest(o.col + j, 0), w - 1) GROUP BY o.layer, o.row, o.col)")
+_SPATIAL = np.array([[1.0, 2.0, 3.0], [4.0, 8.0, 5.0], [2.0, 6.0, 1.0]])
+query("bilateral_filter_spatial", lambda f: st.bilateral_filter(f.n, _SPATIAL, 0.5), f"SELECT layer, row, col, {_round('v.x / v.w', 6)} AS v FROM ({taps_sql(square(_SPATIAL), CLAMP, '{x: sum(t.wt * exp(-(o.v - x.v) * (o.v - x.v) / 0.25) * x.v), w: sum(t.wt * exp(-(o.v - x.v) * (o.v - x.v) / 0.25))}', 'n')})")
 shaped("domain_transform_rows", lambda f: st.domain_transform_rows(f.s, 2.0, 1.0), "SELECT layer, row, col, sum(1 + 2 * abs(v - p)) OVER (PARTITION BY row ORDER BY col) AS v FROM (SELECT *, coalesce(lag(v) OVER (PARTITION BY row ORDER BY col), v) AS p FROM s)")
 _DOMAIN = "d AS (SELECT layer, row, col, sum(1 + abs(v - p)) OVER (PARTITION BY row ORDER BY col) AS d FROM (SELECT *, coalesce(lag(v) OVER (PARTITION BY row ORDER BY col), v) AS p FROM q))"
 query("domain_filter_rows", lambda f: st.domain_filter_rows(f.s, st.domain_transform_rows(f.q, 1.0, 1.0), 50.0), f", {_DOMAIN} SELECT layer, row, col, {_round('avg(v) OVER (PARTITION BY row ORDER BY d RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING)', 4)} AS v FROM s JOIN d USING (layer, row, col)", 4)
@@ -419,19 +463,55 @@ query("random", lambda f: st.random(_bits(f), 4), """, cells AS (SELECT row * 64
  SELECT 0 AS layer, (i // 64)::INT AS row, (i % 64)::INT AS col, 0 AS e, round(sum(((25946 >> (8 * (b0 >> k & 1) + 4 * (b1 >> k & 1) + 2 * (b2 >> k & 1) + (b3 >> k & 1))) & 1) << k)::DOUBLE / 15, 6) + 0.0 AS v
  FROM seen, (VALUES (0), (1), (2), (3)) t(k) GROUP BY i""")
 
-# ---- transforms: against themselves, as SQL has none -----------------------------------------------------------
+# ---- transforms, of all keys on a square ------------------------------------------------------------------------
+
+_WIDE = f""", side AS (SELECT (2 ** ceil(ceil(log2(max(o_orderkey) + 1)) / 2))::BIGINT AS n FROM orders),
+points AS (SELECT range AS k FROM range((SELECT n * n FROM side))),
+wide AS (SELECT k // n AS row, k % n AS col, (coalesce(x, 0)::DOUBLE / 524288 - 0.25) / {ODD}::DOUBLE AS re, (coalesce(y, 0)::DOUBLE / 512 - 0.25) / {ODD}::DOUBLE AS im FROM points CROSS JOIN side
+    LEFT JOIN (SELECT o_orderkey AS k, sum(round_even(o_totalprice, 0)) AS x FROM orders GROUP BY 1) USING (k) LEFT JOIN (SELECT l_orderkey AS k, sum(l_quantity) AS y FROM lineitem GROUP BY 1) USING (k)),
+plain AS (SELECT row, col, re, 0.0::DOUBLE AS im FROM wide),
+along AS (SELECT range AS k FROM range((SELECT n FROM side)))"""
+
+
+def _dft(source: str, axis: str, sign: int) -> str:
+    """The sums of one axis; the angles' whole turns are left out before they are divided."""
+    other = "col" if axis == "row" else "row"
+    return f"SELECT {other}, k AS {axis}, sum(re * cos(t) - ({sign}) * im * sin(t)) AS re, sum(im * cos(t) + ({sign}) * re * sin(t)) AS im FROM (SELECT z.row, z.col, z.re, z.im, k, 2 * pi() * ((k * z.{axis}) % n) / n AS t FROM ({source}) z, side, along) GROUP BY {other}, k"
+
+
+def _cosines(source: str, axis: str, inverse: bool) -> str:
+    other = "col" if axis == "row" else "row"
+    x, freq = ("k", f"z.{axis}") if inverse else (f"z.{axis}", "k")
+    return f"SELECT {other}, k AS {axis}, sum(re * w) AS re FROM (SELECT z.row, z.col, z.re, k, sqrt(2.0 / n) * cos(pi() * (((2 * {x} + 1) * {freq}) % (4 * n)) / (2 * n)) * CASE WHEN {freq} = 0 THEN sqrt(0.5::DOUBLE) ELSE 1 END AS w FROM ({source}) z, side, along) GROUP BY {other}, k"
+
+
+def _complex_sql(source: str, scale: str = "1", digits: int = 4) -> str:
+    return f"{_WIDE} SELECT 0 AS layer, row::INT AS row, col::INT AS col, {_round(f're / ({scale})', digits)} AS re, {_round(f'im / ({scale})', digits)} AS im FROM ({source}), side"
+
+
+def _real_sql(source: str, row: str = "row", col: str = "col") -> str:
+    return f"{_WIDE} SELECT 0 AS layer, {row}::INT AS row, {col}::INT AS col, {_round('re', 4)} AS v FROM ({source})"
+
 
-query("fft", lambda f: sp.fft(f.small(8, 16)), f"SELECT 0 AS layer, u::INT AS row, w::INT AS col, {_round('sum(v * cos(2 * pi() * (u * row / 8 + w * col / 16)))', 3)} AS re, {_round('-sum(v * sin(2 * pi() * (u * row / 8 + w * col / 16)))', 3)} AS im FROM s, (SELECT range::DOUBLE AS u FROM range(8)), (SELECT range::DOUBLE AS w FROM range(16)) WHERE row < 8 AND col < 16 GROUP BY u, w", 3)
-query("fft_rows", lambda f: sp.fft_rows(f.small(8, 16)), f"SELECT 0 AS layer, row, w::INT AS col, {_round('sum(v * cos(2 * pi() * w * col / 16))', 3)} AS re, {_round('-sum(v * sin(2 * pi() * w * col / 16))', 3)} AS im FROM s, (SELECT range::DOUBLE AS w FROM range(16)) WHERE row < 8 AND col < 16 GROUP BY row, w", 3)
-query("fft_columns", lambda f: sp.fft_columns(f.small(8, 16)), f"SELECT 0 AS layer, u::INT AS row, col, {_round('sum(v * cos(2 * pi() * u * row / 8))', 3)} AS re, {_round('-sum(v * sin(2 * pi() * u * row / 8))', 3)} AS im FROM s, (SELECT range::DOUBLE AS u FROM range(8)) WHERE row < 8 AND col < 16 GROUP BY col, u", 3)
-_BACK = "SELECT layer, row, col, v + 0.0 AS v FROM s WHERE row < 8 AND col < 16"
-query("fft_inverse", lambda f: p.real_part(sp.fft_inverse(sp.fft(f.small(8, 16)))), _BACK, 4)
-query("fft_inverse_rows_columns", lambda f: p.real_part(sp.fft_inverse_columns(sp.fft_inverse_rows(sp.fft(f.small(8, 16))))), _BACK, 4)
-query("fft_ri", lambda f: sp.fft_inverse_ri(*sp.fft_ri(f.small(8, 16)))[0], _BACK, 4)
-query("dct", lambda f: sp.dct(f.small(8, 8)), f"SELECT 0 AS layer, u::INT AS row, w::INT AS col, {_round('sum(v * cos(pi() * (2 * row + 1) * u / 16) * cos(pi() * (2 * col + 1) * w / 16)) / 4 * CASE WHEN u = 0 THEN sqrt(0.5) ELSE 1 END * CASE WHEN w = 0 THEN sqrt(0.5) ELSE 1 END', 3)} AS v FROM s, (SELECT range::DOUBLE AS u FROM range(8)), (SELECT range::DOUBLE AS w FROM range(8)) WHERE row < 8 AND col < 8 GROUP BY u, w", 3)
-query("dct_inverse", lambda f: sp.dct_inverse(sp.dct(f.small(8, 8))), _BACK.replace("16", "8"), 4)
-query("dct_transposed", lambda f: sp.dct_inverse(sh.transpose(sp.dct_transposed(f.small(8, 8)))), _BACK.replace("16", "8"), 4)
-query("dct_inverse_transposed", lambda f: sh.transpose(sp.dct_inverse_transposed(sp.dct(f.small(8, 8)))), _BACK.replace("16", "8"), 4)
+_FORWARD = _dft(_dft("SELECT * FROM wide", "col", -1), "row", -1)
+_INVERSE = _dft(_dft("SELECT * FROM wide", "col", 1), "row", 1)
+query("fft", lambda f: sp.fft(f.wide_n), _complex_sql(_dft(_dft("SELECT * FROM plain", "col", -1), "row", -1)), 4)
+query("fft_complex", lambda f: sp.fft(f.wide_c), _complex_sql(_FORWARD), 4)
+query("fft_rows", lambda f: sp.fft_rows(f.wide_c), _complex_sql(_dft("SELECT * FROM wide", "col", -1), digits=6), 6)
+query("fft_columns", lambda f: sp.fft_columns(f.wide_c), _complex_sql(_dft("SELECT * FROM wide", "row", -1), digits=6), 6)
+query("fft_inverse", lambda f: sp.fft_inverse(f.wide_c), _complex_sql(_INVERSE, "n * n"), 4)
+query("fft_inverse_rows", lambda f: sp.fft_inverse_rows(f.wide_c), _complex_sql(_dft("SELECT * FROM wide", "col", 1), "n"), 4)
+query("fft_inverse_columns", lambda f: sp.fft_inverse_columns(f.wide_c), _complex_sql(_dft("SELECT * FROM wide", "row", 1), "n"), 4)
+query("fft_inverse_rows_columns", lambda f: sp.fft_inverse_columns(sp.fft_inverse_rows(f.wide_c)), _complex_sql(_INVERSE, "n * n"), 4)
+query("fft_ri", lambda f: p.complex_field(*sp.fft_ri(f.wide_n, f.wide_m)), _complex_sql(_FORWARD), 4)
+query("fft_ri_real", lambda f: p.complex_field(*sp.fft_ri(f.wide_n)), _complex_sql(_dft(_dft("SELECT * FROM plain", "col", -1), "row", -1)), 4)
+query("fft_inverse_ri", lambda f: p.complex_field(*sp.fft_inverse_ri(f.wide_n, f.wide_m)), _complex_sql(_INVERSE, "n * n"), 4)
+_COSINES = _cosines(_cosines("SELECT row, col, re FROM wide", "col", False), "row", False)
+_UNCOSINES = _cosines(_cosines("SELECT row, col, re FROM wide", "col", True), "row", True)
+query("dct", lambda f: sp.dct(f.wide_n), _real_sql(_COSINES), 4)
+query("dct_inverse", lambda f: sp.dct_inverse(f.wide_n), _real_sql(_UNCOSINES), 4)
+query("dct_transposed", lambda f: sp.dct_transposed(f.wide_n), _real_sql(_COSINES, "col", "row"), 4)
+query("dct_inverse_transposed", lambda f: sp.dct_inverse_transposed(f.wide_n), _real_sql(_UNCOSINES, "col", "row"), 4)
 
 # ---- ticks, scatters, user functions ---------------------------------------------------------------------------
 
@@ -456,7 +536,7 @@ shaped("feedback_steps", _counter, "SELECT layer, row, col, x + 3 * y AS v FROM
 shaped("scatter_add", lambda f: user.scatter(f.q, lambda x: x % 16, "add", (16,)), "SELECT 0 AS layer, 0 AS row, range AS col, coalesce(v, 0) AS v FROM range(16) LEFT JOIN (SELECT (v % 16)::BIGINT AS k, sum(v) AS v FROM q GROUP BY 1) ON k = range")
 shaped("histogram", lambda f: user.scatter(f.s, lambda x: F.floor(x / 32768), "inc", (20,)), "SELECT 0 AS layer, 0 AS row, range AS col, coalesce(v, 0) AS v FROM range(20) LEFT JOIN (SELECT floor(v / 32768)::BIGINT AS k, count(*) AS v FROM s GROUP BY 1) ON k = range")
 shaped("neighbor_reads", lambda f: user.point_operator([user.neighbors(f.s, [(0, -1, 0), (0, 0, 1)])], lambda n: F.get(n, F.lit(0)) - F.get(n, F.lit(1)), FieldType(f.s.shape)), taps_sql([(-1, 0, 1), (0, 1, -1)], CLAMP, _SUM))
-shaped("whole_field_operator", lambda f: user.field_operator([f.small(8, 8)], lambda x: np.cumsum(x, axis=0), FieldType((8, 8))), "SELECT layer, row, col, sum(v) OVER (PARTITION BY col ORDER BY row) AS v FROM s WHERE row < 8 AND col < 8")
+shaped("whole_field_operator", lambda f: user.field_operator([f.s], lambda x: np.cumsum(x, axis=0), f.s.type), "SELECT layer, row, col, sum(v) OVER (PARTITION BY col ORDER BY row) AS v FROM s")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
