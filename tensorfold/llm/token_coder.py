@@ -30,7 +30,7 @@ BLOCK = 2048
 #: Blocks coded in lockstep at once.
 LANES = 4096
 #: After how many ids counts and shares are taken anew.
-POINTS = (64, 128, 256, 512, 1024)
+POINTS = (128, 384, 1024)
 #: Order 0 and the shares each are of 2**12; a place needs 2 more bits for its confidence.
 _BITS, _SURE = 12, 3
 _TOTAL = 1 << _BITS
