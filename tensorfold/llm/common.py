@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 #: ASCII white space as the word contracts define it; Java, RE2 and Python read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Used only where the session names no shared folder (tests, notebooks).
+#: Used only where the session names no shared folder and all its tasks run on this machine (tests, notebooks).
 FALLBACK_DIR = "file:///tmp/checkpoints/tensorfold"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    found = found or FALLBACK_DIR
     if "://" not in found and not found.startswith("file:"):
         found = f"file://{os.path.abspath(found)}" if not found.startswith("/") else f"file://{found}"
     if spark.sparkContext.getCheckpointDir() is None:
@@ -57,22 +60,6 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_atomically(uri: str, chunks) -> int:
-    """Write the chunks to a file of an attempt's own, then move it into place; returns the bytes written.
-
-    A task that is run again writes the same content, so whichever attempt moves last changes nothing.
-    """
-    fs, path = open_fs(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    temporary, size = f"{path}.{uuid.uuid4().hex}.tmp", 0
-    with fs.open_output_stream(temporary, compression=None) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            size += len(chunk)
-    fs.move(temporary, path)
-    return size
-
-
 def fresh(taken: Sequence[str], *names: str) -> list[str]:
     """The names, with underscores before them where needed so that none is among ``taken``, in any case of letters."""
     used, out = {t.lower() for t in taken}, []

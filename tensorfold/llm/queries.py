@@ -11,7 +11,7 @@ from .simhash import op4_simhash
 from .token_files import op7_token_files
 from .toxicity import op10_toxicity
 from .url_filter import OP9_SQL, op9_url_filter
-from .warc import op5_warc
+from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": OP2_SQL, "op9_url_filter": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_warc": OP5_SQL, "op9_url_filter": OP9_SQL}

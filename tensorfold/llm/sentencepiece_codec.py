@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -303,11 +304,14 @@ FULL = "ids array<int>, span_begin array<bigint>, span_end array<bigint>, decode
 
 
 def digest_row(enc: Encoding, decode: Callable[[list[int]], str]) -> dict:
+    """Digests of the ids, the decoded text and the spans: CRC-32 of all begins and then all ends as little-endian
+    64-bit integers; and the bytes of the original that the spans cover together."""
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
-    return {"n_tokens": len(enc.ids), "ids_sha256": sha(enc.joined), "decoded_sha256": sha(decode(enc.ids))}
+    spans = zlib.crc32(np.ascontiguousarray(enc.end, "<i8"), zlib.crc32(np.ascontiguousarray(enc.begin, "<i8")))
+    return {"n_tokens": len(enc.ids), "ids_sha256": sha(enc.joined), "decoded_sha256": sha(decode(enc.ids)), "spans_crc32": spans, "spanned_bytes": int((enc.end - enc.begin).sum())}
 
 
-DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_crc32 bigint, spanned_bytes bigint"
 
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), emit: Callable = full_row, schema: str = FULL) -> DataFrame:
@@ -339,7 +343,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
 
 
 def op1_sentencepiece(spark, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    """Token counts and digests of every document's ids and decoded text."""
+    """Token counts and digests of every document's ids, decoded text and spans."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -142,10 +142,10 @@ WITH parsed AS (
 known AS (
   SELECT doc_id AS o_id, max(greatest(1 - quality, toxic)) AS bad FROM labels
   WHERE doc_id IS NOT NULL AND greatest(1 - quality, toxic) IS NOT NULL GROUP BY doc_id),
-hosts AS (
-  SELECT host, count(*) AS n, sum(bad)::BIGINT AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
-         array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') AS suffix
-  FROM parsed JOIN known ON page_id = o_id GROUP BY host),
+levelled AS (
+  SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
+         array_to_string(list_slice(string_split(host, '.'), -1, -1), '.') AS suffix FROM parsed),
+hosts AS (SELECT host, count(*) AS n, sum(bad)::BIGINT AS bad, domain, suffix FROM levelled JOIN known ON page_id = o_id GROUP BY host, domain, suffix),
 domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY suffix),
 strengths AS (
@@ -153,7 +153,9 @@ strengths AS (
          (SELECT sum(bad)::DOUBLE FROM suffixes) AS all_bad, (SELECT sum(n)::DOUBLE FROM suffixes) AS all_n),
 s AS (SELECT suffix, (bad + k_suffix * all_bad / all_n) / (n + k_suffix) AS s_rate FROM suffixes, strengths),
 d AS (SELECT domain, (bad + k_domain * s_rate) / (n + k_domain) AS d_rate FROM domains JOIN s USING (suffix), strengths),
-h AS (SELECT host, n + k_host AS m, (bad + k_host * d_rate) / (n + k_host) AS rate FROM hosts JOIN d USING (domain), strengths),
+h AS (
+  SELECT a.host, coalesce(x.n, 0) + k_host AS m, (coalesce(x.bad, 0) + k_host * coalesce(d_rate, s_rate, all_bad / all_n)) / (coalesce(x.n, 0) + k_host) AS rate
+  FROM (SELECT DISTINCT host, domain, suffix FROM levelled) a LEFT JOIN hosts x ON a.host = x.host LEFT JOIN d ON a.domain = d.domain LEFT JOIN s ON a.suffix = s.suffix, strengths WHERE all_n > 0),
 bounds AS (SELECT host, rate - {Z} * sqrt(rate * (1 - rate) / (m + 1)) AS bound FROM h),
 judged AS (SELECT page_id, parsed.host, path, bound, {_rules_sql().replace("(host =", "(parsed.host =").replace("ends_with(host", "ends_with(parsed.host")} AS r FROM (SELECT * FROM parsed) parsed LEFT JOIN bounds ON parsed.host = bounds.host)
 SELECT page_id, host, path, r.rule AS rule, coalesce(r.verdict, CASE WHEN bound > {BLOCK_ABOVE} THEN 'block' ELSE 'allow' END) AS verdict FROM judged

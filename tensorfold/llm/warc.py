@@ -308,3 +308,16 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     records = read_archives(spark, payload=False, verify=True, manifest=manifest_of(folder))
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(NAME) + 1}) as bigint)")
     return records.where(F.col("record_type").isin("response", "revisit")).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+_BIT = " + ".join(f"{1 << 4 - k} * (substr(bits, 5 * i + {k + 1}, 1) = '1')::INT" for k in range(5))
+OP5_SQL = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages),
+spelled AS (
+  SELECT *, array_to_string([right(bin(16 + instr('0123456789abcdef', substr(sha, i + 1, 1)) - 1), 4) for i in range(40)], '') AS bits,
+         min(page_id) OVER (PARTITION BY sha) AS first FROM payloads)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BIT}, 1) for i in range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM spelled
+"""

@@ -265,28 +265,3 @@ def test_oracles(spark, tiny, name):
     columns = sorted(found.columns)
     expected = sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall(), key=str)
     assert sorted((tuple(r[c] for c in columns) for r in found.collect()), key=str) == expected
-
-
-def test_pipeline_by_brute_force(spark, tiny):
-    import corpus_pipeline as c
-    from test_similar_texts import survivors
-
-    docs = spark.read.parquet(f"{tiny}/documents.parquet")
-    rows = {name: None for name, _ in c.STAGES}
-    for name, stage in c.STAGES:
-        before = docs.collect()
-        docs = c.staged(stage(spark, docs, tiny), name)
-        rows[name] = docs.collect()
-        if name == "toxicity":
-            model = toxicity.train(spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/labels.parquet"))
-            assert {r.doc_id for r in rows[name]} == {r.doc_id for r in before if model.score(r.text)[0] < 0.5}
-        if name == "simhash_near_dedup":
-            assert {r.doc_id for r in rows[name]} == survivors([(r.doc_id, r.text) for r in before])
-        if name == "mixing":
-            taken = {r.doc_id: r.taken for r in mixing.mix(spark.createDataFrame(before)).collect()}
-            words = {}
-            for r in rows[name]:
-                words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
-            assert words == {i: n for i, n in taken.items() if n}
-    assert rows["sentencepiece"] and len(rows["sentencepiece"]) == len(rows["mixing"])
-    assert sorted(c.run(spark, tiny).collect()) == sorted(rows["sentencepiece"])

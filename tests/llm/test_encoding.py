@@ -42,6 +42,15 @@ def test_codec_on_any_text(text):
     assert own.encode(text).ids == own.original.encode(text)
 
 
+@pytest.mark.parametrize("text", [t for t in TEXTS if t])
+def test_both_ways_to_normalise(codec, text):
+    """The short way for models without a character map, and the walk along the text."""
+    own = codec.normalize
+    assert own.simple
+    (plain, a), (mapped, b) = own._plain(text), own._mapped(text.encode())
+    assert plain == mapped and a.tolist() == b.tolist()
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity", "nmt_nfkc_cf"])
 def test_character_maps(rule):
     library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True)
