@@ -428,6 +428,7 @@ planes("convolve_filter_adjoint", lambda f: st.convolve_filter_adjoint(f.pair, F
 planes("cross_correlate_filter_adjoint", lambda f: st.cross_correlate_filter_adjoint(f.pair, Field.of(f.spark, [[[2.0, 3.0]]], 1), batch=2), ["2 * x", "3 * y"])
 planes("matrix_filters", lambda f: st.cross_correlate(f.s, Field.of(f.spark, [[[2.0]], [[3.0]]], 2)), ["2 * x", "3 * x"])
 shaped("median_filter", lambda f: st.median_filter(f.s), taps_sql(square(_ONES), CLAMP, "median(x.v)"))
+query("convolve_color", lambda f: st.convolve(f.color, Field.of(f.spark, KERNEL), CLAMP), f"SELECT layer, row, col, v.r + 0.0 AS r, v.g + 0.0 AS g, v.b + 0.0 AS b FROM ({taps_sql(square(KERNEL, True), CLAMP, '{r: sum(x.x * t.wt), g: sum(x.y * t.wt), b: sum((x.x + x.y) * t.wt)}', 'b')})", None)
 _MASK = np.array([[1, 1, 0], [1, 1, 1], [0, 1, 1]])
 _MASKED = [x for x in square(_MASK) if x[2]]
 shaped("local_max", lambda f: st.local_max(f.s, _MASK), taps_sql(_MASKED, CLAMP, "max(x.v)"))
@@ -532,6 +533,39 @@ def _counter(f: Tables) -> Field:
     return g.step(3).registers["x"]
 
 
+def _sensed(f: Tables, frames: list, steps: int, pipelined: bool = True) -> ticks.TickGraph:
+    """A graph that passes a sensor's frames on, after so many steps."""
+    left = iter(frames)
+    sensor = ticks.Sensor(next(x for x in frames if x is not None).type, lambda: next(left, None), pipelined)
+    return ticks.TickGraph(f.spark, lambda v, _: {"x": v["in"]}, sensors={"in": sensor}).reset().step(steps)
+
+
+def _acted(f: Tables, values: list, steps: int, pipelined: bool, init=None) -> Field:
+    """What an actuator was given last; the graph's output at time t is ``values[t]``."""
+    given: list[Field] = []
+    ticks.TickGraph(f.spark, lambda v, time: {"x": values[time]}, actuators=[ticks.Actuator("x", given.append, pipelined, init)]).reset().step(steps)
+    return given[-1]
+
+
+_PAIR_SQL = f"SELECT {AT}, e, (CASE e WHEN 0 THEN x ELSE y END) + 0.0 AS v FROM b, (VALUES (0), (1)) t(e)"
+_COLOR_SQL = f"SELECT {AT}, x + 0.0 AS r, y + 0.0 AS g, x + y + 0.0 AS b FROM b"
+shaped("sensor_pipelined", lambda f: _sensed(f, [f.s, None, f.q], 2).field("x"), "SELECT * FROM q")
+shaped("sensor_holds", lambda f: _sensed(f, [f.s, None, f.q], 1).field("x"), "SELECT * FROM s")
+shaped("sensor_unpipelined", lambda f: _sensed(f, [f.s, f.q, f.s + f.q], 2, False).field("x"), "SELECT layer, row, col, x + y AS v FROM b")
+query("vector_sensor", lambda f: _sensed(f, [f.pair * 2.0, f.pair], 1).field("x"), _PAIR_SQL, None)
+query("vector_sensor_unpipelined", lambda f: _sensed(f, [f.pair * 2.0, f.pair], 1, False).field("x"), _PAIR_SQL, None)
+query("color_sensor", lambda f: _sensed(f, [f.color * 2.0, f.color], 1).field("x"), _COLOR_SQL, None)
+query("color_sensor_unpipelined", lambda f: _sensed(f, [f.color * 2.0, f.color], 1, False).field("x"), _COLOR_SQL, None)
+shaped("actuator_pipelined", lambda f: _acted(f, [f.s, f.q], 1, True), "SELECT * FROM s")
+shaped("actuator_initial", lambda f: _acted(f, [f.s], 0, True, f.q), "SELECT * FROM q")
+shaped("actuator_unpipelined", lambda f: _acted(f, [f.s, f.q], 1, False), "SELECT * FROM q")
+query("vector_actuator", lambda f: _acted(f, [f.pair, f.pair * 2.0], 1, True), _PAIR_SQL, None)
+query("vector_actuator_unpipelined", lambda f: _acted(f, [f.pair * 2.0, f.pair], 1, False), _PAIR_SQL, None)
+query("color_actuator", lambda f: _acted(f, [f.color, f.color * 2.0], 1, True), _COLOR_SQL, None)
+query("color_actuator_unpipelined", lambda f: _acted(f, [f.color * 2.0, f.color], 1, False), _COLOR_SQL, None)
+shaped("feedback_reset", lambda f: ticks.TickGraph(f.spark, lambda v, _: {"x": v["x"] + f.q}, {"x": f.s}).step(2).reset().step(1).field("x"), "SELECT layer, row, col, x + 2 * y AS v FROM b")
+shaped("feedback_run", lambda f: ticks.TickGraph(f.spark, lambda v, _: {"x": v["x"] + f.q}, {"x": f.s}).run(2).registers["x"], "SELECT layer, row, col, x + 2 * y AS v FROM b")
+query("delay_of_three", lambda f: _events(f).select("event_id", (ticks.delay("w", "event_id", ("user_id",), 3, 4.5) + 0.0).alias("v")), f", {_EVENTS} SELECT event_id, lag(w, 3, 4.5) OVER (PARTITION BY user_id ORDER BY event_id) + 0.0 AS v FROM ev")
 shaped("feedback_steps", _counter, "SELECT layer, row, col, x + 3 * y AS v FROM b")
 shaped("scatter_add", lambda f: user.scatter(f.q, lambda x: x % 16, "add", (16,)), "SELECT 0 AS layer, 0 AS row, range AS col, coalesce(v, 0) AS v FROM range(16) LEFT JOIN (SELECT (v % 16)::BIGINT AS k, sum(v) AS v FROM q GROUP BY 1) ON k = range")
 shaped("histogram", lambda f: user.scatter(f.s, lambda x: F.floor(x / 32768), "inc", (20,)), "SELECT 0 AS layer, 0 AS row, range AS col, coalesce(v, 0) AS v FROM range(20) LEFT JOIN (SELECT floor(v / 32768)::BIGINT AS k, count(*) AS v FROM s GROUP BY 1) ON k = range")

@@ -22,8 +22,10 @@ from ..types import FieldType, check
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it; one of our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tensorfold").rstrip("/")
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it; one of our own only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    check(bool(found) or spark.sparkContext.master.startswith("local"), "name a folder that all executors share in spark.checkpoint.dir")
+    return (found or "file:///tmp/checkpoints/tensorfold").rstrip("/")
 
 
 class Sensor:
@@ -81,6 +83,7 @@ class TickGraph:
         self.registers: dict[str, Field] = {}
         self.outputs: dict[str, Field] = {}
         self.time = -1
+        self._stopped = False
         self.folder = f"{shared_folder(spark)}/ticks-{uuid.uuid4().hex[:12]}"
 
     def _evaluate(self) -> None:
@@ -126,10 +129,39 @@ class TickGraph:
                     a.consume(self.outputs[a.output])
         return self
 
+    def run(self, most: int | None = None) -> TickGraph:
+        """Step until ``stop`` is called, as by an actuator, or ``most`` ticks are done."""
+        self._stopped = False
+        if self.time < 0:
+            self.reset()
+        while not self._stopped and (most is None or most > 0):
+            self.step()
+            most = None if most is None else most - 1
+        return self
+
+    def stop(self) -> None:
+        """End ``run`` after the tick that is being done."""
+        self._stopped = True
+
+    def names(self) -> list[str]:
+        """What can be read: outputs, registers and sensors."""
+        return sorted({*self.outputs, *self.registers, *self.sensors})
+
+    def field(self, name: str) -> Field:
+        """The field of this tick that has a name; an output hides the register it sets."""
+        for where in (self.outputs, self.registers):
+            if name in where:
+                return where[name]
+        check(name in self.sensors, f"no field is named {name}")
+        return self.sensors[name].now
+
     def read(self, name: str):
         """A probed value of this tick, as an array."""
-        found = self.outputs.get(name) or self.registers.get(name) or self.sensors[name].now
-        return found.read()
+        return self.field(name).read()
+
+    def read_all(self) -> dict:
+        """All named values of this tick, as arrays."""
+        return {name: self.read(name) for name in self.names()}
 
     def save(self, path: str) -> None:
         """Time, registers and sensors' current frames; the body is code and isn't saved."""

@@ -84,3 +84,13 @@ def test_integers(spark):
     assert one("add_sat", 2**31 - 1, 5) == 2**31 - 1
     assert one("hadd", 3, 4) == 3 and one("rhadd", 3, 4) == 4
     assert one("clz", 1) == 31 and one("rotate", 1, 33) == 2 and one("mul_hi", 2**31, 4) == 2
+
+
+def test_run_stops_and_reads_by_name(spark):
+    g = TickGraph(spark, lambda v, _: {"x": v["x"] + 1.0, "y": v["x"] * 2.0}, {"x": Field.of(spark, 0.0)})
+    g.actuators.append(Actuator("y", lambda f: g.stop() if float(f.read()) >= 6.0 else None, pipelined=False))
+    assert g.run().time == 3 and g.names() == ["x", "y"]
+    assert float(g.read("y")) == 6.0 and {k: float(v) for k, v in g.read_all().items()} == {"x": 4.0, "y": 6.0}
+    assert g.run(2).time in (4, 5)
+    with pytest.raises(Exception, match="no field is named"):
+        g.read("z")
