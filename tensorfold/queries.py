@@ -117,8 +117,8 @@ class Tables:
 
     @property
     def folded(self) -> Field:
-        """All order prices summed onto 64 x 64 points, the largest field that some operators take."""
-        return self._once("folded", lambda: from_table(self.table("orders"), F.col("o_orderkey") % 4096, F.rint("o_totalprice"), (64, 64)))
+        """All order prices summed onto 32 x 32 points, for operators that take small fields only."""
+        return self._once("folded", lambda: from_table(self.table("orders"), F.col("o_orderkey") % 1024, F.rint("o_totalprice"), (32, 32)))
 
 
 def number(x: Column, digits: int | None) -> Column:
@@ -319,9 +319,9 @@ shaped("select_first", lambda f: sh.select([f.s, f.q], r.field_reduce_max(f.q) *
 shaped("select", lambda f: sh.select([f.s, f.q], r.field_reduce_max(f.q) * 0.0 + 1.0), "SELECT * FROM q")
 shaped("warp", lambda f: st.warp(f.s, Field.of(f.spark, [1.5, 0.5], 1), CLAMP), "SELECT o.layer, o.row, o.col, sum(x.v * 0.25) AS v FROM s o, size, (VALUES (-2), (-1)) a(i), (VALUES (-1), (0)) b(j), s x WHERE x.row = least(greatest(o.row + i, 0), h - 1) AND x.col = least(greatest(o.col + j, 0), w - 1) GROUP BY o.layer, o.row, o.col")
 shaped("subfield", lambda f: st.subfield(f.s, Field.of(f.spark, [1.5, -0.5], 1), (6, 9), ZERO), "SELECT 0 AS layer, o.row, o.col, coalesce(sum(x.v * 0.25), 0) AS v FROM (SELECT row, col FROM s WHERE row < 6 AND col < 9) o CROSS JOIN (VALUES (1), (2)) a(i) CROSS JOIN (VALUES (-1), (0)) b(j) LEFT JOIN s x ON x.row = o.row + i AND x.col = o.col + j GROUP BY o.row, o.col")
-_FOLDED = ", folded AS (SELECT (k // 64)::INT AS row, (k % 64)::INT AS col, coalesce(x, 0)::DOUBLE AS v FROM (SELECT range AS k FROM range(4096)) LEFT JOIN (SELECT o_orderkey % 4096 AS k, sum(round_even(o_totalprice, 0)) AS x FROM orders GROUP BY 1) USING (k))"
-query("subfields", lambda f: st.subfields(f.folded, 3), f"{_FOLDED} SELECT 0 AS layer, (x.row - i)::INT AS row, (x.col - j)::INT AS col, (i * 62 + j)::INT AS e, v + 0.0 AS v FROM folded x, (SELECT range AS i FROM range(62)), (SELECT range AS j FROM range(62)) WHERE x.row - i BETWEEN 0 AND 2 AND x.col - j BETWEEN 0 AND 2", None)
-query("replicate", lambda f: t.replicate(f.folded, (4, 5)), f"{_FOLDED} SELECT 0 AS layer, a.range::INT AS row, b.range::INT AS col, (x.row * 64 + x.col)::INT AS e, v + 0.0 AS v FROM range(4) a, range(5) b, folded x", None)
+_FOLDED = ", folded AS (SELECT (k // 32)::INT AS row, (k % 32)::INT AS col, coalesce(x, 0)::DOUBLE AS v FROM (SELECT range AS k FROM range(1024)) LEFT JOIN (SELECT o_orderkey % 1024 AS k, sum(round_even(o_totalprice, 0)) AS x FROM orders GROUP BY 1) USING (k))"
+query("subfields", lambda f: st.subfields(f.folded, 3), f"{_FOLDED} SELECT 0 AS layer, (x.row - i)::INT AS row, (x.col - j)::INT AS col, (i * 30 + j)::INT AS e, v + 0.0 AS v FROM folded x, (SELECT range AS i FROM range(30)), (SELECT range AS j FROM range(30)) WHERE x.row - i BETWEEN 0 AND 2 AND x.col - j BETWEEN 0 AND 2", None)
+query("replicate", lambda f: t.replicate(f.folded, (4, 5)), f"{_FOLDED} SELECT 0 AS layer, a.range::INT AS row, b.range::INT AS col, (x.row * 32 + x.col)::INT AS e, v + 0.0 AS v FROM range(4) a, range(5) b, folded x", None)
 query("casts", lambda f: p.to_vector_field(p.to_color_field(f.color)), f"SELECT {AT}, e, (CASE e WHEN 0 THEN x WHEN 1 THEN y ELSE x + y END) + 0.0 AS v FROM b, (VALUES (0), (1), (2)) t(e)", None)
 
 # ---- tensors ---------------------------------------------------------------------------------------------------
