@@ -286,7 +286,8 @@ def similar_links(each: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sim
 
     def met(homes: DataFrame, guests: DataFrame) -> DataFrame:
         guests = guests.select(F.col("bucket").alias("at"), F.col("node").alias("b"), F.col("f").alias("f_b"), F.col("g").alias("g_b"), F.col("c").alias("c_b"))
-        pairs = homes.join(guests, (F.col("bucket") == F.col("at")) & (F.col("node") != F.col("b")) & apart & near)
+        # Merged: by the size of the nodes, which is all that the planner knows, it would send every visit to the driver.
+        pairs = homes.join(guests.hint("merge"), (F.col("bucket") == F.col("at")) & (F.col("node") != F.col("b")) & apart & near)
         return similar(pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")))
 
     alone = nodes.withColumn("c", F.col("node"))

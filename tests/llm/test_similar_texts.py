@@ -65,6 +65,23 @@ def test_hot_anchors(spark, monkeypatch):
     assert {r.doc_id for r in similar_texts.drop_similar(docs).collect()} == survivors(rows)
 
 
+def test_visits_are_not_broadcast(spark, tiny, monkeypatch):
+    """The planner takes visits for as small as the nodes they are made of, and would send them all to the driver."""
+    plans, staged = [], similar_texts.staged
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    for hot in (similar_texts.HOT, 2):
+        monkeypatch.setattr(similar_texts, "HOT", hot)
+        monkeypatch.setattr(similar_texts, "staged", seen)
+        similar_texts.drop_similar(spark.read.parquet(f"{tiny}/documents.parquet"))
+        meet = [p for p in plans if "Join [bucket#" in p and "[at#" in p]
+        assert meet and not any("BroadcastHashJoin [bucket#" in line and "[at#" in line for p in meet for line in p.split("\n"))
+        plans.clear()
+
+
 def test_rows_without_or_with_shared_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     rows = [(7, a, "x"), (7, b, "y"), (7, a, "x"), (9, a + " c", "z"), (None, b, "n"), (None, "alone", "n"), (None, "alone", "m"), (1, None, None), (0, "", "e")]
