@@ -134,7 +134,8 @@ def links(distinct: DataFrame, threshold: int = 2, extra: int | None = None) ->
     homes = fan_out(lambda fp: (code.home(fp), fp)).select("anchor", F.col("fp").alias("a"))
     guests = fan_out(visiting).select("anchor", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return homes.join(guests, (homes["anchor"] == guests["anchor"]) & near).select("a", "b")
+    # Merged: by the size of the fingerprints, which is all that the planner knows, it would send every visit to the driver.
+    return homes.join(guests.hint("merge"), (homes["anchor"] == guests["anchor"]) & near).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:

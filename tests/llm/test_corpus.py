@@ -92,6 +92,15 @@ def test_links_are_complete(spark):
         assert {tuple(r) for r in simhash.links(table, extra=extra).collect()} == expected
 
 
+def test_links_are_not_broadcast(spark, tmp_path):
+    """The planner takes visits for as small as the fingerprints they are made of, and would send them all to the driver."""
+    spark.createDataFrame([(7,), (5,), (-1,)], "fp bigint").write.parquet(f"{tmp_path}/distinct")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/distinct"), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [(r.a, r.b) for r in found.collect()] == [(5, 7)]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 400)] + [(1000, j) for j in range(1001, 1300)] + [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(300)]
