@@ -8,8 +8,9 @@ find ``RECALL`` of pairs at exactly 0.8; the finer the anchors (one more bit wit
 two million texts), the more tables that takes. More similar pairs are found more surely, and a group of
 copies is missed only if all links that hold it together are.
 
-Pairs that meet are compared by 95 bits, then by 192, then exactly by their shingles, hashed to 64 bits; no pair below
-0.8 is linked. Anchors also go by size, as sets of a similarity of 0.8
+Pairs that meet are compared by 95 bits, then by 192 and by the parities of their shingles in 512 slots, then exactly by
+their shingles, hashed to 64 bits; no pair below 0.8 is linked. Parities lose nothing: sets whose parities differ in k slots
+differ in k shingles at least. They tell 0.6 from 0.8 where bits can't, up to some 900 shingles. Anchors also go by size, as sets of a similarity of 0.8
 have sizes within 5 to 4.
 
 Texts with equal sets are one node of the search, all without words among them. Anchors with far more homes than
@@ -44,6 +45,8 @@ NEAR, NEAR_ALL = 28, 48
 #: tasks (40 bytes each). What is linked doesn't depend on either.
 HOT, MOST_HOT = 24, 100_000
 MOST_SENT = 500_000
+#: Longs of parities of a set, and the power of two of the bits that tell, beyond MOST_SENT, which rows may have to go.
+ODD, SIEVE = 8, 26
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _CHUNK = 1 << 14
 
@@ -82,6 +85,12 @@ def sketch(h: np.ndarray) -> tuple[int, int, int, int]:
     return tuple(int(np.array(x, np.uint64).view(np.int64)) for x in out)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Is the number of the hashes in each of 64 ODD slots odd, as signed longs."""
+    odd = np.bincount((h % np.uint64(64 * ODD)).astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 class Tables:
     """Anchors in several tables, each over ``GOLAY_BITS + extra`` bits of a fingerprint."""
 
@@ -144,22 +153,27 @@ def tables_for(extra: int, recall: float = RECALL, flips: float = FLIPS, pairs:
     return n
 
 
+_ODDS = [f"p{k}" for k in range(ODD)]
+
+
 def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, h, node, n, f, g0, g1) of (id, h, t): whole texts, no shuffle."""
+    """(id, h, node, n, f, g0, g1, p0 ...) of (id, h, t): whole texts, no shuffle."""
     import pyarrow as pa
 
+    names = ["f", "g0", "g1", *_ODDS]
+
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sets = [shingles(t, shingle) for t in part.column(2).to_pylist()]
-                found = np.array([sketch(s) for s in sets], np.int64).reshape(-1, 4)
+                found = np.array([(*sketch(s), *parities(s)) for s in sets], np.int64).reshape(-1, 1 + len(names))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(found[:, 0]), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(found[:, k]) for k in (1, 2, 3))],
-                    names=["id", "h", "node", "n", "f", "g0", "g1"],
+                    [part.column(0), part.column(1), pa.array(found[:, 0]), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(found[:, 1 + k]) for k in range(len(names)))],
+                    names=["id", "h", "node", "n", *names],
                 )
 
-    return docs.mapInArrow(run, "id bigint, h bigint, node bigint, n bigint, f bigint, g0 bigint, g1 bigint")
+    return docs.mapInArrow(run, ", ".join(f"{c} bigint" for c in ["id", "h", "node", "n", *names]))
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -259,7 +273,7 @@ def similar_links(each: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sim
 
     ``each`` is what ``_sketched`` gives, staged; ``texts`` has id, h and t.
     """
-    nodes = staged(each.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "f", "g0", "g1")], F.min(F.struct("id", "h")).alias("row")), "nodes")
+    nodes = staged(each.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "f", "g0", "g1", *_ODDS)], F.min(F.struct("id", "h")).alias("row")), "nodes")
     extra = extra_bits(nodes.count())
     own = Tables(extra, tables or tables_for(extra))
     ratio = Fraction(similarity).limit_denominator(1000)
@@ -267,10 +281,13 @@ def similar_links(each: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sim
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that the further bits and then the shingles confirm."""
-        side = lambda end: nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "f", "g0", "g1")])
-        differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("f", "g0", "g1")), F.lit(0))
+        side = lambda end: nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "f", "g0", "g1", *_ODDS)])
+        bits = lambda names: sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names), F.lit(0))
+        differ = bits(("f", "g0", "g1"))
+        # Sets of a similarity of p / q differ in (q - p) / (q + p) of their shingles, both counted.
+        odd = bits(_ODDS) * (q + p) <= (F.col("n_a") + F.col("n_b")) * (q - p)
         sized = F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p
-        close = staged(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(sized & (differ <= NEAR_ALL)).select("a", "b", "n_a", "n_b"), "close")
+        close = staged(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(sized & (differ <= NEAR_ALL) & odd).select("a", "b", "n_a", "n_b"), "close")
         wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         rows = staged(nodes.join(wanted, "node", "left_semi").select("node", "row.*").withColumnsRenamed({"id": "w_id", "h": "w_h"}), "wanted")
         # At most MOST_SENT rows of 24 bytes are told to all tasks; beyond that, texts are shuffled.
@@ -311,6 +328,25 @@ def similar_links(each: DataFrame, texts: DataFrame, shingle: int = SHINGLE, sim
     return first.unionByName(met(_spread(labelled, own, False, main), _spread(labelled, own, True, main)))
 
 
+def _sieve(rows: DataFrame, h: str):
+    """A function of a column of hashes: may the hash be among those in ``h``? 2**SIEVE bits, whatever the rows."""
+    import pyarrow as pa
+
+    at = F.col(h).bitwiseAND(F.lit((1 << SIEVE) - 1))
+    words = rows.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    sieve = np.zeros(1 << SIEVE - 6, np.int64)
+    sieve[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(sieve)
+
+    def may_be_in(hashes):
+        at = hashes.to_numpy(zero_copy_only=False) & ((1 << SIEVE) - 1)
+        return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    may_be_in.__annotations__ = {"hashes": pa.Array, "return": pa.Array}
+    return F.arrow_udf(may_be_in, "boolean")
+
+
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near copies; texts are shuffled only where near copies are compared."""
     key = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
@@ -328,7 +364,13 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     # Without an id the hash alone names a row; the two kinds never match each other.
     named_id, nameless = (F.coalesce(c, F.lit(0)) for c in (docs[doc_id].cast("bigint"), gone[g_id])), (docs[doc_id].cast("bigint").isNull(), gone[g_id].isNull())
     a, b = named_id
-    stay = docs.join(gone, (key == gone[g_h]) & (a == b) & (nameless[0] == nameless[1]), "left_anti")
+    same = (key == gone[g_h]) & (a == b) & (nameless[0] == nameless[1])
+    # Rows that stay aren't shuffled: at most MOST_SENT rows of 16 bytes are told to all tasks, beyond that a sieve of them.
+    if gone.count() <= MOST_SENT:
+        stay = docs.join(F.broadcast(gone), same, "left_anti")
+    else:
+        may_go = _sieve(gone, g_h)(key)
+        stay = docs.where(~may_go).unionByName(docs.where(may_go).join(gone, same, "left_anti"))
     # Only if rows repeat are texts shuffled to make one row of several.
     if each.groupBy("id", "h").count().where("count > 1").isEmpty():
         return stay

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tensorfold.llm import similar_texts
@@ -82,6 +83,58 @@ def test_visits_are_not_broadcast(spark, tiny, monkeypatch):
         plans.clear()
 
 
+def test_pairs_far_below_the_threshold_are_not_compared(spark, monkeypatch):
+    """A group of texts of similarities around 0.6: bits don't tell them from 0.8, parities of shingles do."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(90000)}" for _ in range(150)]
+    texts = []
+    for i in range(120):
+        v = list(base)
+        for at in rng.sample(range(4, len(v), 9), 2 if i < 30 else 4):
+            v[at] = f"e{rng.randrange(90000)}"
+        texts.append(" ".join(v))
+    rows, close, staged = list(enumerate(texts)), [], similar_texts.staged
+
+    def seen(df, name):
+        out = staged(df, name)
+        if name == "close":
+            close.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar_texts, "staged", seen)
+    kept = {r.doc_id for r in similar_texts.drop_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == survivors(rows)
+    sets = plain_sets(texts)
+    near = sum(5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for i in range(120) for j in range(i))
+    assert 0 < near and sum(close) < 0.5 * 120 * 119 / 2
+
+
+def test_parities_lose_no_pair():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 700, 6000):
+        x = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for k in (0, 1, n // 10, n):
+            y = np.unique(np.concatenate([x[k:], rng.integers(0, 1 << 64, k, np.uint64)]))
+            odd = similar_texts.parities(x) ^ similar_texts.parities(y)
+            assert np.bitwise_count(odd.view(np.uint64)).sum() <= len(np.setxor1d(x, y))
+
+
+def test_rows_that_stay_are_not_shuffled(spark, tiny, monkeypatch):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256")
+    try:
+        told = similar_texts.drop_similar(docs)
+        monkeypatch.setattr(similar_texts, "MOST_SENT", 0)
+        sieved = similar_texts.drop_similar(docs)
+        assert "SortMergeJoin" not in told._jdf.queryExecution().executedPlan().toString()
+        kept = sorted(r.doc_id for r in told.collect())
+        assert kept == sorted(r.doc_id for r in sieved.collect()) == sorted(survivors([(r.doc_id, r.text) for r in docs.collect()]))
+        assert len(kept) < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_rows_without_or_with_shared_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     rows = [(7, a, "x"), (7, b, "y"), (7, a, "x"), (9, a + " c", "z"), (None, b, "n"), (None, "alone", "n"), (None, "alone", "m"), (1, None, None), (0, "", "e")]
