@@ -109,6 +109,75 @@ def test_pairs_far_below_the_threshold_are_not_compared(spark, monkeypatch):
     assert 0 < near and sum(close) < 0.5 * 120 * 119 / 2
 
 
+def join_rows(spark, since):
+    """The most rows that any join has made in executions from ``since`` on, and the number of executions."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    ids = [runs.apply(i).executionId() for i in range(runs.size())]
+    for run in (x for x in ids if x >= since):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = (node.metrics().apply(i) for i in range(node.metrics().size())) if "Join" in node.name() else ()
+            for m in metrics:
+                if m.name() == "number of output rows" and (found := values.get(m.accumulatorId())).isDefined():
+                    most = max(most, int(found.get().replace(",", "").split()[0]))
+    return most, max(ids, default=-1) + 1
+
+
+def test_a_large_group_does_not_meet_pair_by_pair(spark):
+    """A text and 500 copies with few to many edits each, of similarities around 0.6 among themselves."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(90000)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(500):
+        v = list(base)
+        for at in rng.sample(range(len(v)), rng.choice([1, 2, 3, 4, 5, 6, 8, 10])):
+            v[at] = f"e{rng.randrange(90000)}"
+        texts.append(" ".join(v))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    _, since = join_rows(spark, 1 << 60)
+    assert {r.doc_id for r in similar_texts.drop_similar(docs).collect()} == survivors(rows)
+    most, _ = join_rows(spark, since)
+    assert 0 < most < 0.25 * 501 * 500 / 2
+
+
+def test_links_within_groups_by_all_pairs(spark):
+    """Groups with one common text, with two, with shared edits, of sets of all sizes, without anything in common."""
+    rng = np.random.default_rng(17)
+    new = lambda n: [int(x) for x in rng.integers(-(1 << 62), 1 << 62, n)]
+    sets = []
+    for c, (bases, edits) in enumerate([([100], 20), ([100, 100], 20), ([37], 9), ([400], 60), ([3], 2), ([], 0)], 1):
+        common, pool = [new(n) for n in bases], new(40)
+        sets += [(c, common[0])] if c == 1 else []
+        for i in range(70):
+            if not common:
+                sets.append((c, new(1 + i)))
+                continue
+            own, k = list(common[i % len(common)]), int(rng.integers(1, edits + 1))
+            own = [x for at, x in enumerate(own) if at not in set(rng.integers(0, len(own), k).tolist())]
+            sets.append((c, sorted({*own, *new(int(rng.integers(0, k + 1))), *(pool[j] for j in rng.integers(0, 40, i % 3 * k // 2))})))
+    sets = [(c, s) for c, s in sets if s]
+    members = spark.createDataFrame([(i, len(s), -c) for i, (c, s) in enumerate(sets)], "node bigint, n bigint, c bigint")
+    held = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(sets)], "node bigint, s array<bigint>")
+    for p, q in ((4, 5), (2, 3)):
+        found = {(r.a, r.b) for r in similar_texts._within_groups(members, held, p, q).collect()}
+        near = {(i, j) for j, (c, y) in enumerate(sets) for i, (k, x) in enumerate(sets[:j]) if c == k and q * len({*x} & {*y}) >= p * len({*x} | {*y})}
+        assert found <= near and len(near) > 500
+
+        def parts(links):
+            least = list(range(len(sets)))
+            while True:
+                before = list(least)
+                for i, j in links:
+                    least[i] = least[j] = min(least[i], least[j])
+                if before == least:
+                    return least
+
+        assert parts(found) == parts(near)
+
+
 def test_parities_lose_no_pair():
     rng = np.random.default_rng(5)
     for n in (0, 1, 40, 700, 6000):
