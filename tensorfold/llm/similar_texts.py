@@ -8,14 +8,14 @@ find ``RECALL`` of pairs at exactly 0.8; the finer the anchors (one more bit wit
 two million texts), the more tables that takes. More similar pairs are found more surely, and a group of
 copies is missed only if all links that hold it together are.
 
-Pairs that meet are compared by 95 bits, then by 192 and by the parities of their shingles in 512 slots, then exactly by
+Pairs that meet are compared by 128 bits, then by 192 and by the parities of their shingles in 512 slots, then exactly by
 their shingles, hashed to 64 bits; no pair below 0.8 is linked. Parities lose nothing: sets whose parities differ in k slots
 differ in k shingles at least. They tell 0.6 from 0.8 where bits can't, up to some 900 shingles. Anchors also go by size, as sets of a similarity of 0.8
 have sizes within 5 to 4.
 
 Texts with equal sets are one node of the search, all without words among them. Anchors with far more homes than
 others belong to large groups of near copies. One home of each is a lead; every text is first compared with two of the
-leads it meets, the nearest and the first by hash. A text joins the group of that lead it meets, within bits of it, whose
+leads it meets, the nearest and the first by hash. A text joins the group of that lead it meets, within LOOSE bits, whose
 component is the largest so far. Members of a group aren't compared pair by pair, at a hot anchor they don't even meet:
 ``_within_groups`` links them, exactly, by what they differ in from what most of the group have in common.
 
@@ -29,7 +29,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, staged
@@ -40,8 +40,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 RECALL = 0.95
 #: Share of bits in which the fingerprints of sets of a similarity of 0.8 differ: acos(8 / 9) / pi.
 FLIPS = 0.1515
-#: Bits that may differ: of the 95 that are sent, and of all 192. Pairs at 0.8 exceed them about once in 20000.
-NEAR, NEAR_ALL = 28, 48
+#: Bits that may differ: of the 128 that are sent, and of all 192. Pairs at 0.8 exceed them about once in 20000.
+NEAR, NEAR_ALL = 36, 48
+#: Of the 128 bits, those in which a text may differ from a lead of its group: texts at 0.6 hardly exceed them, unrelated
+#: ones do. What is linked doesn't depend on it.
+LOOSE = 40
 #: Homes that make an anchor hot, besides 4 times the mean; and how many hot anchors, the fullest, are told to all
 #: tasks (40 bytes each). What is linked doesn't depend on either.
 HOT, MOST_HOT = 24, 100_000
@@ -193,12 +196,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, s array<bigint>")
 
 
-_ROW = "bucket bigint, node bigint, f bigint, g int, c bigint"
-
-
-def _further(g0: Column) -> Column:
-    """The 31 further bits that are sent with a fingerprint."""
-    return g0.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+_ROW = "bucket bigint, node bigint, f bigint, g bigint, c bigint"
 
 
 def _numbers(batch, lo: int, size: int = 4096) -> list[np.ndarray]:
@@ -233,11 +231,11 @@ def _spread(nodes: DataFrame, tables: Tables, guests: bool, main: np.ndarray | N
                             bucket = bucket | own
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[of]), pa.array(f[of]), pa.array(g[of]), pa.array(c[of], mask=(c == node)[of])], names=["bucket", "node", "f", "g", "c"])
 
-    return nodes.where("n > 0").select("node", "n", "f", _further(F.col("g0")).alias("g"), "c").mapInArrow(run, _ROW)
+    return nodes.where("n > 0").select("node", "n", "f", F.col("g0").alias("g"), "c").mapInArrow(run, _ROW)
 
 
-def _near_leads(tables: Tables, leads: np.ndarray, node: np.ndarray, n: np.ndarray, f: np.ndarray, g: np.ndarray):
-    """(position of a node, position of a lead it meets, bits they differ in) for pairs within NEAR; leads by bucket."""
+def _near_leads(tables: Tables, leads: np.ndarray, n: np.ndarray, f: np.ndarray, g: np.ndarray, bits: int):
+    """(position of a node, position of a lead it meets, bits they differ in) for pairs within ``bits``; leads by bucket."""
     who, lead = [], []
     for bucket, of in tables.guests(f, n):
         at = np.minimum(np.searchsorted(leads[:, 0], bucket), len(leads) - 1)
@@ -245,8 +243,8 @@ def _near_leads(tables: Tables, leads: np.ndarray, node: np.ndarray, n: np.ndarr
         who.append(of[hit])
         lead.append(at[hit])
     who, lead = np.concatenate(who), np.concatenate(lead)
-    far = np.bitwise_count((f[who] ^ leads[lead, 2]).view(np.uint64)).astype(np.int64) + np.bitwise_count((g[who] ^ leads[lead, 3].astype(np.int32)).view(np.uint32))
-    near = far <= NEAR
+    far = sum(np.bitwise_count((own[who] ^ leads[lead, k]).view(np.uint64)).astype(np.int64) for k, own in ((2, f), (3, g)))
+    near = far <= bits
     return who[near], lead[near], far[near]
 
 
@@ -269,14 +267,14 @@ def _leads_met(nodes: DataFrame, tables: Tables, leads: np.ndarray) -> DataFrame
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 node, n, f, g = _numbers(batch, lo)
-                who, lead, far = _near_leads(tables, leads, node, n, f, g)
+                who, lead, far = _near_leads(tables, leads, n, f, g, NEAR)
                 other = leads[lead, 1] != node[who]
                 who, lead, far = who[other], lead[other], far[other]
                 pick = np.unique(np.concatenate([_firsts(who, leads[lead, 1], key) for key in (far, rank[lead])]))
                 a, b = node[who[pick]], leads[lead[pick], 1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return nodes.where("n > 0").select("node", "n", "f", _further(F.col("g0")).alias("g")).mapInArrow(run, "a bigint, b bigint")
+    return nodes.where("n > 0").select("node", "n", "f", F.col("g0").alias("g")).mapInArrow(run, "a bigint, b bigint")
 
 
 def _grouped(nodes: DataFrame, tables: Tables, leads: np.ndarray) -> DataFrame:
@@ -291,7 +289,7 @@ def _grouped(nodes: DataFrame, tables: Tables, leads: np.ndarray) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 node, n, f, g0 = _numbers(batch, lo)
-                who, lead, _ = _near_leads(tables, leads, node, n, f, (g0 & (1 << 31) - 1).astype(np.int32))
+                who, lead, _ = _near_leads(tables, leads, n, f, g0, LOOSE)
                 pick = _firsts(who, leads[lead, 4], -leads[lead, 5])
                 c = node.copy()
                 c[who[pick]] = leads[lead[pick], 4]

@@ -109,15 +109,16 @@ def test_pairs_far_below_the_threshold_are_not_compared(spark, monkeypatch):
     assert 0 < near and sum(close) < 0.5 * 120 * 119 / 2
 
 
-def join_rows(spark, since):
-    """The most rows that any join has made in executions from ``since`` on, and the number of executions."""
+def join_rows(spark, since, on=""):
+    """The most rows that any join (with ``on`` in its description) has made in executions from ``since`` on, and the next
+    execution's number."""
     store, most = spark._jsparkSession.sharedState().statusStore(), 0
     runs = store.executionsList()
     ids = [runs.apply(i).executionId() for i in range(runs.size())]
     for run in (x for x in ids if x >= since):
         values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
         for node in (nodes.apply(i) for i in range(nodes.size())):
-            metrics = (node.metrics().apply(i) for i in range(node.metrics().size())) if "Join" in node.name() else ()
+            metrics = (node.metrics().apply(i) for i in range(node.metrics().size())) if "Join" in node.name() and on in node.desc() else ()
             for m in metrics:
                 if m.name() == "number of output rows" and (found := values.get(m.accumulatorId())).isDefined():
                     most = max(most, int(found.get().replace(",", "").split()[0]))
@@ -143,6 +144,16 @@ def test_a_large_group_does_not_meet_pair_by_pair(spark):
     assert 0 < most < 0.25 * 501 * 500 / 2
 
 
+def test_unrelated_texts_hardly_meet(spark):
+    """Those that share an anchor have over a fifth of their bits in common by that alone."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(f"w{rng.randrange(90000)}" for _ in range(30))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    _, since = join_rows(spark, 1 << 60)
+    assert similar_texts.drop_similar(docs).count() == 6000
+    assert join_rows(spark, since, "[at#")[0] < 100
+
+
 def test_links_within_groups_by_all_pairs(spark):
     """Groups with one common text, with two, with shared edits, of sets of all sizes, without anything in common."""
     rng = np.random.default_rng(17)
