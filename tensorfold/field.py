@@ -152,6 +152,17 @@ def grid(spark: SparkSession, sizes: Sequence[int]) -> DataFrame:
     return spark.range(n).select((i / (rows * cols)).cast("int").alias("layer") if sizes[0] > 1 else F.lit(0).alias("layer"), F.expr(f"cast((id div {cols}) % {rows} as int)").alias("row"), F.expr(f"cast(id % {cols} as int)").alias("col"))
 
 
+#: Rows of one task, where rows are dealt by a key and held in memory.
+TASK_ROWS = 1 << 18
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows by keys over as many tasks as their number asks for: what a task holds doesn't grow with a field's size,
+    whatever the session's number of partitions, or how small rows are when they are shuffled."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > 1 else df
+
+
 def aligned(*fields: Field) -> tuple[Frame, list[Column]]:
     """One frame that has all the fields' values, and their expressions there.
 

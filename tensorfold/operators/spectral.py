@@ -1,47 +1,65 @@
-"""Fourier and cosine transforms: one pass along each dimension, a group for each line, numpy in Arrow batches.
+"""Fourier and cosine transforms: one pass along each dimension, blocks of whole lines, numpy in Arrow batches.
 
-A line has at most 2048 points, so no task holds more than lines; a field of any size is transformed by its lines,
-with one shuffle for each dimension.
+A task holds a block of lines, of a bounded number of points, or one line where that is longer: its memory grows with the
+line, not with the field. A field of any size is transformed by its lines, with one shuffle for each dimension.
 """
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..field import COORDS, Field, cplx, to_complex
+from ..field import COORDS, Field, cplx, dealt, to_complex
 from ..types import COMPLEX, check
 from .pointwise import imaginary_part, real_part
 from .shape import transpose
 
-LONGEST = 2048
+#: Numbers in the block of lines that is transformed at once.
+BLOCK = 1 << 17
 
 
 def _lines(f: Field, axis: str, g) -> Field:
-    """Apply ``g(lines by planes, axis 0)`` to complex arrays along one axis, for each tensor plane."""
+    """Apply ``g(lines by points by planes)`` to arrays of whole lines along one axis, complex ones of complex fields."""
     import pyarrow as pa
 
-    planes = f.type.elements
-    df = f.df()
-    element = lambda part: F.transform("v", lambda z: z[part]) if f.tensor else F.array(F.col(f"v.{part}"))
-    flat = df.select(*COORDS, element("re").alias("re"), element("im").alias("im"))
-    others = [c for c in COORDS if c != axis]
+    t, planes = f.type, f.type.elements
+    size = dict(zip(COORDS, t.sizes))
+    a, b = (c for c in COORDS if c != axis)
+    n, total = size[axis], size[a] * size[b]
+    per = max(1, BLOCK // (n * planes))
+    parts = ("re", "im") if t.kind == COMPLEX else ("v",)
+    element = lambda p: F.col("v") if p == "v" else F.transform("v", lambda z: z[p]) if t.tensor else F.col(f"v.{p}")
+    line = F.col(a).cast("bigint") * size[b] + F.col(b)
+    flat = f.df().select(line.alias("_l"), F.col(axis).alias("_x"), *[element(p).alias(p) for p in parts])
+    flat = flat.select(F.expr(f"_l div {per}").alias("_b"), F.expr(f"_l % {per}").alias("_l"), "_x", *parts)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by(axis)
-        x = table["re"].combine_chunks().flatten().to_numpy() + 1j * table["im"].combine_chunks().flatten().to_numpy()
-        y = g(x.reshape(-1, planes))
-        offsets = pa.array(np.arange(len(y) + 1, dtype=np.int32) * planes)
-        part = lambda v: pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v).ravel()))
-        return pa.table([*(table[c] for c in COORDS), part(y.real), part(y.imag)], names=[*COORDS, "re", "im"])
-
-    out = flat.groupBy(*others).applyInArrow(run, "layer int, row int, col int, re array<double>, im array<double>")
-    value = F.zip_with("re", "im", cplx) if f.tensor else cplx(F.get("re", F.lit(0)), F.get("im", F.lit(0)))
-    return Field.from_df(out.select(*COORDS, value.alias("v")), f.type)
+        first = table["_b"][0].as_py() * per
+        lines = min(per, total - first)
+        at = np.asarray(table["_l"]) * n + np.asarray(table["_x"])
+        x = np.zeros((lines * n, planes), np.complex128 if t.kind == COMPLEX else np.float64)
+        for p, to in zip(parts, (x.real, x.imag)):
+            column = table[p].combine_chunks()
+            to[at] = np.asarray(column.flatten() if t.tensor else column).reshape(-1, planes)
+        y = g(x.reshape(lines, n, planes)).reshape(-1, planes)
+        where = {axis: np.tile(np.arange(n, dtype=np.int32), lines)}
+        where[a], where[b] = (np.repeat(c.astype(np.int32), n) for c in np.divmod(np.arange(first, first + lines), size[b]))
+        values = [np.ascontiguousarray(v).ravel() for v in ((y.real, y.imag) if t.kind == COMPLEX else (y,))]
+        if t.tensor:
+            offsets = pa.array(np.arange(len(y) + 1, dtype=np.int32) * planes)
+            values = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+        return pa.table([*(pa.array(where[c]) for c in COORDS), *map(pa.array, values)], names=[*COORDS, *parts])
+
+    one = "array<double>" if t.tensor else "double"
+    out = dealt(flat, t.points * planes, "_b").groupBy("_b").applyInArrow(run, ", ".join([*(f"{c} int" for c in COORDS), *(f"{p} {one}" for p in parts)]))
+    value = F.col("v") if t.kind != COMPLEX else F.zip_with("re", "im", cplx) if t.tensor else cplx(F.col("re"), F.col("im"))
+    return Field.from_df(out.select(*COORDS, value.alias("v")), t)
 
 
 def _power_of_two(n: int) -> bool:
-    return n & (n - 1) == 0 and n <= LONGEST
+    return n & (n - 1) == 0
 
 
 def _fft(f: Field, axes, inverse: bool, scale=None) -> Field:
@@ -49,10 +67,10 @@ def _fft(f: Field, axes, inverse: bool, scale=None) -> Field:
     f = to_complex(f)
     for axis in axes:
         n = f.type.sizes[COORDS.index(axis)]
-        check(_power_of_two(n), f"sizes are powers of 2 up to {LONGEST}")
+        check(_power_of_two(n), "sizes are powers of 2")
         if n > 1 or scale:
             k = n / scale if scale and inverse else 1.0
-            f = _lines(f, axis, (lambda x, k=k: np.fft.ifft(x, axis=0) * k) if inverse else (lambda x: np.fft.fft(x, axis=0)))
+            f = _lines(f, axis, (lambda x, k=k: np.fft.ifft(x, axis=1) * k) if inverse else (lambda x: np.fft.fft(x, axis=1)))
     return f
 
 
@@ -108,27 +126,33 @@ def fft_inverse_columns(f: Field) -> Field:
     return _fft(f, ("row",), True, f.shape[1])
 
 
-def _basis(n: int) -> np.ndarray:
-    """The orthonormal cosine basis: rows are frequencies."""
-    k, x = np.arange(n)[:, None], np.arange(n)[None, :]
-    b = np.sqrt(2 / n) * np.cos(np.pi * (2 * x + 1) * k / (2 * n))
-    b[0] /= np.sqrt(2)
-    return b
+def _cosines(x: np.ndarray) -> np.ndarray:
+    """Orthonormal, by a Fourier transform of the even points followed by the odd ones turned around."""
+    n = x.shape[1]
+    w = np.exp(-0.5j * np.pi * np.arange(n) / n) * sqrt(2 / n)
+    w[0] = sqrt(1 / n)
+    return (np.fft.fft(np.concatenate([x[:, ::2], x[:, 1::2][:, ::-1]], axis=1), axis=1) * w[:, None]).real
 
 
-def _dct(f: Field, inverse: bool) -> Field:
-    check(len(f.shape) == 2 and not f.tensor and f.type.kind == "real" and f.shape[0] == f.shape[1], "a square 2D scalar field")
-    n = f.shape[0]
-    check(_power_of_two(n), f"sizes are powers of 2 up to {LONGEST}")
+def _cosines_inverse(x: np.ndarray) -> np.ndarray:
+    n = x.shape[1]
+    w = np.exp(0.5j * np.pi * np.arange(n) / n) / sqrt(2 / n)
+    z = x.astype(np.complex128)
+    z[:, 1:] -= 1j * x[:, :0:-1]
+    z *= w[:, None]
+    z[:, 0] = x[:, 0] * sqrt(n)
+    v, y = np.fft.ifft(z, axis=1).real, np.empty_like(x)
+    half = (n + 1) // 2
+    y[:, ::2], y[:, 1::2] = v[:, :half], v[:, half:][:, ::-1]
+    return y
 
-    def g(x, n=n):
-        b = _basis(n)
-        return (b.T if inverse else b) @ x
 
-    out = to_complex(f)
+def _dct(f: Field, inverse: bool) -> Field:
+    check(len(f.shape) == 2 and not f.tensor and f.type.kind == "real" and f.shape[0] == f.shape[1], "a square 2D scalar field")
+    check(_power_of_two(f.shape[0]), "sizes are powers of 2")
     for axis in ("col", "row"):
-        out = _lines(out, axis, g)
-    return real_part(out)
+        f = _lines(f, axis, _cosines_inverse if inverse else _cosines)
+    return f
 
 
 def dct(f: Field) -> Field:

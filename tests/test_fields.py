@@ -135,6 +135,25 @@ def test_transforms(of):
     same(sp.dct_inverse(sp.dct(of(c.real[:4, :4]))), c.real[:4, :4])
 
 
+def test_transforms_of_any_size(spark, of):
+    x = np.random.default_rng(6).normal(size=1 << 12)
+    same(sp.fft(of(x)), np.fft.fft(x))
+    sp.dct(Field.constant(spark, (1 << 12, 1 << 12), 1.0))
+    n, k = 16, np.arange(16)
+    b = np.sqrt(2 / n) * np.cos(np.pi * np.outer(k, 2 * k + 1) / (2 * n)) * np.where(k == 0, np.sqrt(0.5), 1)[:, None]
+    y = x[: n * n].reshape(n, n)
+    same(sp.dct(of(y)), b @ y @ b.T)
+    same(sp.dct_inverse_transposed(of(y)), (b.T @ y @ b).T)
+    same(sp.dct(of([[3.0]])), [[3]])
+
+
+def test_transforms_block_by_block(monkeypatch, of):
+    monkeypatch.setattr(sp, "BLOCK", 24)
+    c = np.random.default_rng(7).normal(size=(4, 2, 8, 3, 2)) @ [1, 1j]
+    same(sp.fft(of(c, 1, "complex")), np.fft.fftn(c, axes=(0, 1, 2)))
+    same(sp.fft_inverse(of(c[..., 0], kind="complex")), np.fft.ifftn(c[..., 0]))
+
+
 def test_tensors(of):
     a = np.arange(12.0).reshape(2, 2, 3)
     v = of(a, 1)
