@@ -570,7 +570,7 @@ shaped("feedback_steps", _counter, "SELECT layer, row, col, x + 3 * y AS v FROM
 shaped("scatter_add", lambda f: user.scatter(f.q, lambda x: x % 16, "add", (16,)), "SELECT 0 AS layer, 0 AS row, range AS col, coalesce(v, 0) AS v FROM range(16) LEFT JOIN (SELECT (v % 16)::BIGINT AS k, sum(v) AS v FROM q GROUP BY 1) ON k = range")
 shaped("histogram", lambda f: user.scatter(f.s, lambda x: F.floor(x / 32768), "inc", (20,)), "SELECT 0 AS layer, 0 AS row, range AS col, coalesce(v, 0) AS v FROM range(20) LEFT JOIN (SELECT floor(v / 32768)::BIGINT AS k, count(*) AS v FROM s GROUP BY 1) ON k = range")
 shaped("neighbor_reads", lambda f: user.point_operator([user.neighbors(f.s, [(0, -1, 0), (0, 0, 1)])], lambda n: F.get(n, F.lit(0)) - F.get(n, F.lit(1)), FieldType(f.s.shape)), taps_sql([(-1, 0, 1), (0, 1, -1)], CLAMP, _SUM))
-shaped("whole_field_operator", lambda f: user.field_operator([f.s], lambda x: np.cumsum(x, axis=0), f.s.type), "SELECT layer, row, col, sum(v) OVER (PARTITION BY col ORDER BY row) AS v FROM s")
+shaped("whole_field_operator", lambda f: user.field_operator([f.s], lambda x: np.cumsum(x, axis=0), f.s.type, along=0), "SELECT layer, row, col, sum(v) OVER (PARTITION BY col ORDER BY row) AS v FROM s")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,22 @@ def test_run_stops_and_reads_by_name(spark):
     assert g.run(2).time in (4, 5)
     with pytest.raises(Exception, match="no field is named"):
         g.read("z")
+
+
+def test_functions_of_large_fields(spark, monkeypatch):
+    large = FieldType((1 << 17, 64))
+    f = Field.constant(spark, large.shape, 1.0)
+    user.field_operator([f], lambda x: np.cumsum(x, axis=0), large)
+    monkeypatch.setattr(user, "BLOCK", 1 << 14)
+    sums = user.field_operator([Field.constant(spark, (512, 64), 1.0)], lambda x: np.cumsum(x, axis=0) / (x.size <= 1 << 13), FieldType((512, 64)), along=0)
+    assert np.array_equal(sums.read(), np.arange(1, 513.0)[:, None] * np.ones(64))
+
+
+def test_functions_of_lines(spark):
+    w = np.arange(6.0).reshape(2, 3)
+    f = Field.of(spark, w)
+    v = np.arange(120.0).reshape(2, 5, 4, 3)
+    for along in range(3):
+        got = user.field_operator([Field.of(spark, v, 1), Field.of(spark, v[..., 0])], lambda x, y: np.cumsum(x.sum(-1) * y, axis=along), FieldType(v.shape[:3]), along=along)
+        assert np.allclose(got.read(), np.cumsum(v.sum(-1) * v[..., 0], axis=along))
+    assert np.allclose(user.field_operator([f], lambda x: x[1:, :, None] * np.ones(2), FieldType((1, 3), (2,)), along=0).read(), w[1:, :, None] * np.ones(2))
