@@ -160,7 +160,7 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """Rows by keys over as many tasks as their number asks for: what a task holds doesn't grow with a field's size,
     whatever the session's number of partitions, or how small rows are when they are shuffled."""
     tasks = -(-rows // TASK_ROWS)
-    return df.repartition(tasks, *keys) if tasks > 1 else df
+    return df.repartition(tasks, *keys) if tasks > 1 else df.repartition(*keys)
 
 
 def aligned(*fields: Field) -> tuple[Frame, list[Column]]:

@@ -10,14 +10,15 @@ for each point and a few for the edges, whatever the number of taps, and there i
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import pi, sqrt
+from itertools import product as combinations
+from math import pi, prod, sqrt
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..field import COORDS, Field, aligned, const, cplx, grid
+from ..field import COORDS, Field, aligned, const, cplx, dealt, grid
 from ..types import CLAMP, COLOR, COMPLEX, CYCLIC, FULL, NO_SAMPLING, VALID, ZERO, FieldType, Sampling, check
 from .shape import fill
 from .tensor import _whole
@@ -29,6 +30,8 @@ MOST_TAPS = 1 << 14
 
 #: Targets along the side of a tile.
 TILE = 128
+#: Taps that a target has room for in a task's share of targets; with more of them, it has a smaller share.
+TAPS = 8
 
 
 def contributions(df: DataFrame, taps: Taps, sizes, out_sizes, border: str, up: int = 1, down: int = 1) -> tuple[DataFrame, list[str]]:
@@ -59,7 +62,7 @@ def contributions(df: DataFrame, taps: Taps, sizes, out_sizes, border: str, up:
             df = df.withColumn(f"_tile_{c}", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
             tiles.append(f"_tile_{c}")
     if tiles:
-        df = df.repartition(*tiles)
+        df = dealt(df, prod(out_sizes) * max(TAPS, len(taps)) // TAPS, *tiles)
     steps = F.array(*[F.struct(*[F.lit(int(v)).alias(f"d{i}") for i, v in enumerate(t)], F.lit(k).alias("k")) for k, t in enumerate(taps)])
     df = df.withColumn("_t", F.explode(steps))
     inside = F.lit(True)
@@ -148,8 +151,11 @@ def _convolve(f: Field, kernel: Field, border: str, flip: bool, sampling: Sampli
         df0 = f.df().withColumn("_w", whole)
         weights = F.col("_w") if kernel.tensor else F.transform(F.col("_w"), lambda x: F.array(x))
     df = f.df() if literal is not None else df0
+    # A target that no value reaches, as between upsampled points, is zero: the point before it sends a tap without a weight.
+    empty = [range(min(0, g - 1 - sampling.down * (m - 1)) - up_image + 1, 1) for g, m in zip(grown, out)] if up_image > 1 or border in (ZERO, FULL) else []
+    taps = list(dict.fromkeys([*taps, *((*[0] * pad, *t) for t in combinations(*empty) if empty)]))
     rows, keys = contributions(df, taps, f.type.sizes, (1,) * pad + tuple(out), ZERO if border in (VALID, FULL) else border, up_image, sampling.down)
-    rows = rows.withColumn("_w", F.element_at(weights, F.col("k") + 1))
+    rows = rows.withColumn("_w", F.get(weights, F.col("k")))
     x = (lambda p: F.get("v", F.lit(p))) if f.tensor else (lambda p: F.col("v"))
     y = lambda q: F.get("_w", F.lit(q))
 
@@ -164,21 +170,12 @@ def _convolve(f: Field, kernel: Field, border: str, flip: bool, sampling: Sampli
         return a.re * b.re - a.im * b.im if part == "re" else a.re * b.im + a.im * b.re
 
     def total(of: list[tuple[int, int]]) -> Column:
-        parts = [F.sum(sum((product(p, q, part) for p, q in of[1:]), product(*of[0], part))).alias(part) for part in (("re", "im") if kind == COMPLEX else ("re",))]
+        parts = [F.coalesce(F.sum(sum((product(p, q, part) for p, q in of[1:]), product(*of[0], part))), const(0)).alias(part) for part in (("re", "im") if kind == COMPLEX else ("re",))]
         return F.struct(*parts) if kind == COMPLEX else parts[0]
 
     sums = [total(of) for of in pairs]
     value = (F.array(*sums) if tensor else sums[0]).alias("v")
-    return _dense(rows.groupBy(*keys).agg(value), FieldType(tuple(out), tensor, kind), f, sampling, border)
-
-
-def _dense(df: DataFrame, t: FieldType, f: Field, sampling: Sampling, border: str) -> Field:
-    """Targets that no point sends to, as between upsampled points, are zero."""
-    out = Field.from_df(df, t)
-    if sampling.up == 1:
-        return out
-    zeros = grid(df.sparkSession, t.sizes).select(*COORDS).join(df.select(*COORDS), list(COORDS), "left_anti").select(*COORDS, fill(t).alias("v"))
-    return Field.from_df(out.df().unionByName(zeros), t)
+    return Field.from_df(rows.groupBy(*keys).agg(value), FieldType(tuple(out), tensor, kind))
 
 
 def convolve(f: Field, kernel: Field, border: str = CLAMP, sampling: Sampling = NO_SAMPLING) -> Field:

@@ -56,6 +56,34 @@ def test_convolve_sizes_and_sampling(of):
     same(st.convolve_separable(of(W), k, k, "clamp"), st.convolve(of(W), sh.outer(k, k), "clamp").read())
 
 
+def whole(field, expected):
+    """Each point once, besides the values."""
+    rows = field.df().collect()
+    assert len(rows) == len({r[:3] for r in rows}) == field.type.points
+    same(field, expected)
+
+
+def test_convolutions_have_every_point(of):
+    x, k = np.arange(1.0, 5), np.array([2.0, 0, 5])
+    for up in (1, 2, 3):
+        grown = np.zeros(4 * up)
+        grown[::up] = x
+        for border, how in (("zero", "same"), ("full", "full"), ("valid", "valid")):
+            for w in (k[:1], k, k * [0, 0, 1]):
+                whole(st.convolve(of(x), of(w), border, upsample_input(up)), np.convolve(grown, w, how))
+                whole(st.convolve(of(x), Field.from_df(of(w).df(), FieldType(w.shape)), border, upsample_input(up)), np.convolve(grown, w, how))
+    nan = np.array([[1, np.nan, 2]])
+    whole(st.convolve(of(nan), of([[1.0]]), "zero", upsample_input(2)), [[1, 0, np.nan, 0, 2, 0], [0] * 6])
+
+
+def test_targets_are_dealt_by_their_number(spark):
+    f = Field.constant(spark, (1 << 20, 4), 1.0)
+    wide = st.convolve(f, Field.of(spark, np.ones((3, 3))), "zero", upsample_input(2)).df()
+    plan = wide._jdf.queryExecution().toString()
+    assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
+    assert wide.where("row % 65536 = 1 and col = 1").select("v").distinct().collect() == [(4.0,)]
+
+
 def test_frames(of):
     x, bank = of(np.ones((3, 3, 2)), 1), of(np.arange(4.0).reshape(1, 1, 4), 1)
     same(st.project_frame(x, bank), np.broadcast_to(np.arange(4.0), (3, 3, 4)))
