@@ -149,7 +149,8 @@ def grid(spark: SparkSession, sizes: Sequence[int]) -> DataFrame:
     _, rows, cols = sizes
     i = F.col("id")
     n = sizes[0] * rows * cols
-    return spark.range(n).select((i / (rows * cols)).cast("int").alias("layer") if sizes[0] > 1 else F.lit(0).alias("layer"), F.expr(f"cast((id div {cols}) % {rows} as int)").alias("row"), F.expr(f"cast(id % {cols} as int)").alias("col"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // (1 << 20)))
+    return spark.range(0, n, 1, tasks).select((i / (rows * cols)).cast("int").alias("layer") if sizes[0] > 1 else F.lit(0).alias("layer"), F.expr(f"cast((id div {cols}) % {rows} as int)").alias("row"), F.expr(f"cast(id % {cols} as int)").alias("col"))
 
 
 #: Rows of one task, where rows are dealt by a key and held in memory.

@@ -9,20 +9,24 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..field import COORDS, Field, Frame, fresh, grid, value_ddl
+from ..field import COORDS, TASK_ROWS, Field, Frame, dealt, fresh, grid, value_ddl
 from ..types import FieldType, check
 
 
 def from_table(df: DataFrame, index: Column, value: Column, shape: Sequence[int]) -> Field:
     """A dense scalar field of a table: values are summed by row-by-row index, points without rows are 0.
 
-    The grid is generated and the sums are joined to it; rows whose index is outside the shape are left out.
+    The grid is generated and the sums are joined to it; rows whose index is outside the shape are left out. Large fields'
+    rows and points are dealt alike by index, over tasks of a bounded number of points.
     """
     t = FieldType(tuple(shape))
-    sums = df.select(index.cast("bigint").alias("_i"), value.cast("double").alias("_x")).where(F.col("_i").between(0, t.points - 1)).groupBy("_i").agg(F.sum("_x").alias("_x"))
     _, rows, cols = t.sizes
     i = (F.col("layer").cast("bigint") * rows + F.col("row")) * cols + F.col("col")
-    points = grid(df.sparkSession, t.sizes).withColumn("_i", i).join(sums, "_i", "left")
+    given = df.select(index.cast("bigint").alias("_i"), value.cast("double").alias("_x")).where(F.col("_i").between(0, t.points - 1))
+    points = grid(df.sparkSession, t.sizes).withColumn("_i", i)
+    if t.points > TASK_ROWS:
+        given, points = (dealt(x, t.points, "_i") for x in (given, points))
+    points = points.join(given.groupBy("_i").agg(F.sum("_x").alias("_x")), "_i", "left")
     name = fresh()
     return Field(t, Frame(points.select(*COORDS, F.coalesce("_x", F.lit(0.0)).alias(name))), F.col(name))
 

@@ -36,3 +36,11 @@ def test_plans(spark):
     table = spark.range(10).withColumn("x", F.lit(1.0))
     g = from_table(table, F.col("id"), F.col("x"), (4, 5))
     assert sum(n for k, n in plan_counts(g + g * g).items() if "Join" in k) == 1
+
+
+def test_large_tables_are_dealt_by_their_number(spark):
+    rows = spark.range(1 << 20).select((F.col("id") * 7).alias("k"), F.lit(1.0).alias("x"))
+    g = from_table(rows, F.col("k") % (1 << 19), F.col("x"), (1 << 13, 64))
+    plan = g.df()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange") == 2
+    assert g.df().groupBy("v").count().collect() == [(2.0, 1 << 19)]
