@@ -154,7 +154,7 @@ def grid(spark: SparkSession, sizes: Sequence[int]) -> DataFrame:
 
 
 #: Rows of one task, where rows are dealt by a key and held in memory.
-TASK_ROWS = 1 << 18
+TASK_ROWS = 1 << 19
 
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:

@@ -39,8 +39,8 @@ def test_plans(spark):
 
 
 def test_large_tables_are_dealt_by_their_number(spark):
-    rows = spark.range(1 << 20).select((F.col("id") * 7).alias("k"), F.lit(1.0).alias("x"))
-    g = from_table(rows, F.col("k") % (1 << 19), F.col("x"), (1 << 13, 64))
+    rows = spark.range(1 << 21).select((F.col("id") * 7).alias("k"), F.lit(1.0).alias("x"))
+    g = from_table(rows, F.col("k") % (1 << 20), F.col("x"), (1 << 14, 64))
     plan = g.df()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange") == 2
-    assert g.df().groupBy("v").count().collect() == [(2.0, 1 << 19)]
+    assert g.df().groupBy("v").count().collect() == [(2.0, 1 << 20)]
